@@ -8,6 +8,7 @@ from .mixing import op8_mixing
 from .perplexity import op10_perplexity
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .simhash import op1_simhash
+from .suffix_dedup import op5_suffix_dedup
 from .token_counts import op7_token_counts
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_preference": op3_preference,
     "op4_quality_rules": op4_quality_rules,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
