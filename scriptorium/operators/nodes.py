@@ -19,12 +19,12 @@ SCHEMA = T.StructType([
 
 def layout(documents: DataFrame) -> DataFrame:
     """Boxes of the words of ``documents`` (doc_id, text) by whole-number arithmetic: doc_id, r (line),
-    k (place in the line), text, left, top, right, bottom, score. Offsets are running sums
-    inside the row, so the layout needs no shuffle."""
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("r", "line"))
-    zero = F.struct(F.lit(0).alias("c"), F.expr("cast(array() as array<struct<k:int,c:int,t:string>>)").alias("out"))
-    placed = F.aggregate(F.split("line", " "), zero, lambda s, t: F.struct((s["c"] + F.length(t) + 1).cast("int").alias("c"), F.concat(s["out"], F.array(F.struct(F.size(s["out"]).alias("k"), s["c"].alias("c"), t.alias("t")))).alias("out")))
-    n = lines.select("doc_id", "r", F.explode(F.filter(placed["out"], lambda x: x["t"] != "")).alias("x")).select("doc_id", "r", F.col("x.k").alias("k"), F.col("x.t").alias("text"), F.col("x.c").alias("c"))
+    k (place in the line), text, left, top, right, bottom, score. The texts are dealt out by
+    document once; lines, words and every later window of a document stay in that partition."""
+    lines = documents.select("doc_id", "text").repartition("doc_id").select("doc_id", F.posexplode(F.split("text", "\n")).alias("r", "line"))
+    words = lines.select("doc_id", "r", F.posexplode(F.split("line", " ")).alias("k", "text"))
+    before = Window.partitionBy("doc_id", "r").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    n = words.withColumn("c", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).filter("text <> ''")
     size = F.length("text")
     top = 20 * F.col("r") + (7 * F.col("doc_id") + 3 * F.col("k")) % 5
     return n.select("doc_id", "r", "k", "text", (10 * F.col("c")).cast("long").alias("left"), top.cast("long").alias("top"), (10 * (F.col("c") + size)).cast("long").alias("right"),

@@ -91,9 +91,9 @@ def x_segments(spark, d):
     return j.select("doc_id", F.col("line").cast("long").alias("line"), F.col("segment").cast("long").alias("segment"), "text", "n")
 
 
-@query(NODES + "select doc_id, count(*) as n, min(l) as \"left\", min(t) as top, max(rr) as \"right\", max(b) as bottom, round(avg(b - t), 6) as mean_height, round(avg(score), 6) as probability from nodes group by doc_id")
+@query(NODES + "select doc_id, count(*) as n, min(l) as \"left\", min(t) as top, max(rr) as \"right\", max(b) as bottom, cast(sum(b - t) as bigint) as height_sum, cast(sum(cast(round(score * 100) as bigint)) as bigint) as score_sum from nodes group by doc_id")
 def document_boxes(spark, d):
-    return boxes(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), *bounding(), F.round(F.avg(F.col("bottom") - F.col("top")), 6).alias("mean_height"), F.round(F.avg("score"), 6).alias("probability"))
+    return boxes(spark, d).groupBy("doc_id").agg(F.count("*").alias("n"), *bounding(), F.sum(F.col("bottom") - F.col("top")).alias("height_sum"), F.sum(F.round(F.col("score") * 100).cast("long")).alias("score_sum"))
 
 
 @query(LINES + """,
