@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where the session does not name one (tests on one machine), a temporary
     folder is set for the life of the session."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
             spark.sparkContext.setCheckpointDir(conf)
@@ -41,7 +43,8 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """As ``durable``, but as compressed Parquet in the shared folder: for wide or large rows."""
+    """As ``durable``, but as compressed Parquet in the shared folder: for wide or large rows. The files
+    stay until the folder is cleared, since a lazy result may read them at any later time."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/scriptorium-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
@@ -65,3 +68,52 @@ def words(c: Column) -> Column:
 
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _release() -> None:
+    """Gives freed memory back to the system: workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function of batches that leaves no freed memory in its worker."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return go
+
+
+def trimmed_group(run: Callable[[pa.Table], pa.Table]):
+    """As ``trimmed``, for a function of one group."""
+
+    def go(t: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return run(t)
+        finally:
+            _release()
+
+    return go
+
+
+def trimmed_groups(run: Callable[[pa.Table, pa.Table], pa.Table]):
+    """As ``trimmed``, for a function of two groups of a key."""
+
+    def go(a: pa.Table, b: pa.Table) -> pa.Table:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            return run(a, b)
+        finally:
+            _release()
+
+    return go

@@ -1,6 +1,6 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model is of characters, order five, one for each language, trained on the
+The model is of characters, order four, one for each language, trained on the
 trusted documents (label quality 1, toxic not 1) of four folds of five; the
 fifth fold is held out and sets each language's threshold. All counts cover all
 trusted text, whatever its amount.
@@ -8,13 +8,12 @@ trusted text, whatever its amount.
 Everything large is joined in shards:
 
 * documents are dealt into blocks by a hash of their id (compressed, one
-  exchange, used twice). A block states the distinct five-grams it needs, per language;
-* these requests meet the counts in shards by (language, the three inner
-  characters): a five-gram, its context and its suffix's context all share
-  them, so orders five and four are complete inside a shard; the same step with
-  three-grams and their inner character completes orders three and two, and one
-  with single characters order one;
-* the probability of each distinct five-gram returns to the blocks that asked
+  exchange, used twice). A block states the distinct four-grams it needs, per language;
+* these requests meet the counts in shards by (language, the two inner
+  characters): a four-gram, its context and its suffix's context all share
+  them, so orders four and three are complete inside a shard; shards of bigrams by their
+  first character complete order two, and single characters order one;
+* the probability of each distinct four-gram returns to the blocks that asked
   for it, and each block scores its documents.
 
 Shards and blocks bound the memory of a task; the driver sees a row of counts of
@@ -40,9 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table, written
+from .common import durable, table, trimmed, trimmed_group, trimmed_groups, written
 
-ORDER, FOLDS = 5, 5
+ORDER, FOLDS = 4, 5
 BLOCK_BYTES, CHUNK = 24_000_000, 2_000_000
 BROADCAST_IDS, LEAST_HELD = 2_000_000, 20
 QUANTILE, SLACK = 0.95, 3.0
@@ -61,7 +60,7 @@ def _points(text: str):
 
 
 def _hashes(points):
-    """A 64-bit hash of the five characters that end at each place from the fifth on."""
+    """A 64-bit hash of the ``ORDER`` characters that end at each place."""
     import numpy as np
 
     c = points.astype(np.uint64) * np.uint64(_MULT)
@@ -93,7 +92,7 @@ def _runs(texts: list[str]) -> Iterator[str]:
 
 
 def _grams(texts: list[str], counted: bool):
-    """Distinct five-grams of ``texts`` with their counts. Grams across two texts end in a padding and are left out."""
+    """Distinct grams of ``texts`` with their counts. Grams across two texts end in a padding and are left out."""
     import numpy as np
     import pandas as pd
 
@@ -126,7 +125,7 @@ def _by_lang(langs: list, texts: list[str]) -> dict:
 
 
 def trained_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """``lang, g, c``: counts of the five-grams of ``docs``."""
+    """``lang, g, c``: counts of the grams of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -146,7 +145,7 @@ def trained_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 held, size = {}, 0
         yield from out()
 
-    part = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).mapInArrow(run, "lang string, g string, c long")
+    part = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).mapInArrow(trimmed(run), "lang string, g string, c long")
     return part.groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
@@ -161,7 +160,7 @@ def discounts(counts: DataFrame) -> dict:
             y = n1 / (n1 + 2 * n2) if n1 + n2 else 0.5
             d = [r - (r + 1) * y * (b / a) if a else y for r, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
             out[row.lang, order] = tuple(min(max(x, 0.05), r - 0.05) for r, x in enumerate(d, 1))
-        level = level.groupBy("lang", F.substring("g", 2, order).alias("g")).agg(F.count("*").alias("c"))
+        level = _continued(level, order - 1) if order > 1 else level
     return out
 
 
@@ -182,37 +181,28 @@ def _shares(df, grams: str, context: str, count: str, order: int, disc: dict):
 
 
 def _step(size: int, disc: dict):
-    """Shard function for grams of ``size`` characters: completes orders ``size`` and ``size - 1`` (only ``size`` if 1).
-    Rows (kind, lang, g, p, rest, c): kind 0 a requested gram, probability so far and weight of the
-    rest; kind 1 continuation counts of the gram two characters shorter."""
+    """Shard function for grams of ``size`` characters: completes orders ``size`` and ``size - 1``, below
+    three only ``size``. Rows (lang, g, p, rest) for the requested grams: probability so far and weight of the rest."""
 
     def run(t: pa.Table) -> pa.Table:
-        import numpy as np
         import pandas as pd
 
         df = t.select(["lang", "g", "c", "asked"]).to_pandas()
+        key = df["lang"].fillna("\x00")
         df["h"] = df["g"].str[:-1]
-        a, b = _shares(df, "g", "h", "c", size, disc)
-        p, rest, more = a, b, df.iloc[:0][["lang", "g"]].assign(c=0)
-        if size > 1:
-            df["s"] = df["g"].str[1:]
-            low = pd.DataFrame({"lang": df["lang"], "key": df["lang"].fillna("\x00"), "g": df["s"], "n": (df["c"] > 0).astype("int64")})
+        p, rest = _shares(df, "g", "h", "c", size, disc)
+        if size > 2:
+            low = pd.DataFrame({"lang": df["lang"], "key": key, "g": df["g"].str[1:], "n": (df["c"] > 0).astype("int64")})
+            suffix = pd.MultiIndex.from_arrays([key, low["g"]])
             low = low.groupby(["key", "g"], sort=False).agg(lang=("lang", "first"), n=("n", "sum")).reset_index()
             low["h"] = low["g"].str[:-1]
             low["a"], low["b"] = _shares(low, "g", "h", "n", size - 1, disc)
             at = low.set_index(["key", "g"])
-            ix = at.index.get_indexer(pd.MultiIndex.from_arrays([df["lang"].fillna("\x00"), df["s"]]))
-            p, rest = a + b * at["a"].to_numpy()[ix], b * at["b"].to_numpy()[ix]
-            seen = low[low["n"] > 0]
-            more = pd.DataFrame({"lang": seen["lang"], "key": seen["key"], "g": seen["g"].str[1:]}).groupby(["key", "g"], sort=False).agg(lang=("lang", "first"), c=("lang", "size")).reset_index()[["lang", "g", "c"]]
+            ix = at.index.get_indexer(suffix)
+            p, rest = p + rest * at["a"].to_numpy()[ix], rest * at["b"].to_numpy()[ix]
         ask = df["asked"].to_numpy()
-        n, m = int(ask.sum()), len(more)
-        lang = [None if x is None or x != x else x for x in [*df["lang"][ask], *more["lang"]]]
-        return pa.table({
-            "kind": pa.array(np.repeat([0, 1], [n, m]), pa.int32()), "lang": pa.array(lang, pa.string()), "g": pa.array([*df["g"][ask], *more["g"]], pa.string()),
-            "p": pa.array(np.concatenate([p[ask], np.zeros(m)])), "rest": pa.array(np.concatenate([rest[ask], np.zeros(m)])),
-            "c": pa.array(np.concatenate([np.zeros(n), more["c"].to_numpy()]).astype(np.int64)),
-        })
+        lang = [None if x is None or x != x else x for x in df["lang"][ask]]
+        return pa.table({"lang": pa.array(lang, pa.string()), "g": pa.array(df["g"][ask], pa.string()), "p": pa.array(p[ask]), "rest": pa.array(rest[ask])})
 
     return run
 
@@ -220,25 +210,30 @@ def _step(size: int, disc: dict):
 def probabilities(asked: DataFrame, counts: DataFrame, disc: dict, shards: int) -> DataFrame:
     """``lang, g, logp`` for the distinct grams ``asked`` (lang, g)."""
 
-    def level(asked: DataFrame, counts: DataFrame, size: int) -> DataFrame:
-        both = asked.select("lang", "g", F.lit(0).cast("long").alias("c"), F.lit(True).alias("asked")).unionByName(counts.select("lang", "g", "c", F.lit(False).alias("asked")))
+    def level(size: int) -> DataFrame:
+        need = asked.select("lang", F.expr(f"right(g, {size})").alias("g"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("asked"))
+        both = need.unionByName(lower[size].select("lang", "g", "c", F.lit(False).alias("asked")))
         both = both.groupBy("lang", "g").agg(F.sum("c").alias("c"), F.max("asked").alias("asked"))
-        inner = F.substring("g", 2, size - 2) if size > 2 else F.lit("")
+        inner = F.substring("g", 2, size - 2) if size > 2 else F.substring("g", 1, size - 1)
         both = both.withColumn("shard", F.pmod(F.xxhash64("lang", inner), F.lit(shards)))
-        return both.groupBy("shard").applyInArrow(_step(size, disc), "kind int, lang string, g string, p double, rest double, c long")
-
-    out = level(asked, counts, ORDER)
-    top = out.filter("kind = 0").select("lang", "g", "p", "rest")
-    for size in (ORDER - 2, ORDER - 4):
-        more = out.filter("kind = 1").groupBy("lang", "g").agg(F.sum("c").alias("c"))
-        top = top.withColumn("s", F.expr(f"right(g, {size})"))
-        out = level(top.select("lang", F.col("s").alias("g")).distinct(), more, size)
-        low = out.filter("kind = 0").select(F.col("lang").alias("_l"), F.col("g").alias("_s"), F.col("p").alias("_p"), F.col("rest").alias("_r"))
-        top = top.join(low, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("s") == F.col("_s")))
+        return both.groupBy("shard").applyInArrow(trimmed_group(_step(size, disc)), "lang string, g string, p double, rest double")
+
+    lower = {ORDER: counts}
+    for size in range(ORDER - 1, 0, -1):
+        lower[size] = _continued(lower[size + 1], size)
+    top = level(ORDER)
+    for size in (2, 1):
+        low = level(size).select(F.col("lang").alias("_l"), F.col("g").alias("_s"), F.col("p").alias("_p"), F.col("rest").alias("_r"))
+        top = top.join(low, F.col("lang").eqNullSafe(F.col("_l")) & (F.expr(f"right(g, {size})") == F.col("_s")))
         top = top.select("lang", "g", (F.col("p") + F.col("rest") * F.col("_p")).alias("p"), (F.col("rest") * F.col("_r")).alias("rest"))
     return top.select("lang", "g", F.log(F.col("p") + F.col("rest") / ALPHABET).cast("float").alias("logp"))
 
 
+def _continued(counts: DataFrame, size: int) -> DataFrame:
+    """Continuation counts of grams of ``size`` characters: in how many of the next longer grams each ends."""
+    return counts.groupBy("lang", F.expr(f"right(g, {size})").alias("g")).agg(F.count("*").alias("c"))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zlib
 
@@ -297,7 +292,7 @@ def _spelled(text: str, keys, logp) -> float:
 
 
 def _hashes_of(grams: list[str]):
-    """Hashes of single grams of five characters."""
+    """Hashes of single grams of ``ORDER`` characters."""
     return _hashes(_points("".join(grams)))[::ORDER]
 
 
@@ -313,13 +308,15 @@ def scores(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     block = F.pmod(F.coalesce(F.xxhash64(id_col), F.lit(0)), F.lit(n)).cast("long")
     d = docs.select(block.alias("block"), F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    d = d.mapInArrow(_pack, f"block long, id {kind}, lang string, z binary").repartition(n, "block")
+    d = d.mapInArrow(trimmed(_pack), f"block long, id {kind}, lang string, z binary").repartition(n, "block")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
-    asked = d.groupBy("block").applyInArrow(_ask, "block long, lang string, g string").repartition(shards, "lang", "g")
-    prob = probabilities(asked.select("lang", "g").distinct(), counts, disc, shards)
+    asked = d.groupBy("block").applyInArrow(trimmed_group(_ask), "block long, lang string, g string").repartition(shards, "lang", "g")
+    # the filter keeps the block in this branch too, so that both read one exchange
+    distinct = asked.groupBy("lang", "g").agg(F.min("block").alias("b")).filter("b >= 0").select("lang", "g")
+    prob = probabilities(distinct, counts, disc, shards)
     prob = prob.select(F.col("lang").alias("_l"), F.col("g").alias("_g"), "logp")
     replies = asked.join(prob, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("g") == F.col("_g"))).select("block", "lang", "g", "logp")
-    return d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_score, f"id {kind}, lang string, n long, total double")
+    return d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(trimmed_groups(_score), f"id {kind}, lang string, n long, total double")
 
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id: str = "doc_id", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
