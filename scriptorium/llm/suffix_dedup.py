@@ -38,11 +38,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, trimmed, trimmed_group, written
 
 LENGTH, GRAM = 200, 40
 #: Window starts of a segment at most; bytes handled at a time; segments of a key in one shard; bytes of a shard, about.
-STARTS, CHUNK, GROUP, SHARD_BYTES = 512, 1_000_000, 5000, 2_000_000
+STARTS, CHUNK, GROUP, SHARD_BYTES = 512, 500_000, 5000, 700_000
 _P, _M = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
@@ -367,25 +367,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("c"), text.cast("binary").alias("t"))
-    often = src.select("t").mapInArrow(_key_counts, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1")
+    often = src.select("t").mapInArrow(trimmed(_key_counts), "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).filter("n > 1")
     away = lambda c: F.col(c).bitwiseXOR(F.lit(1))  # noqa: E731  as a join key it has both sides dealt anew, so that skew can be split
-    places = src.mapInArrow(_located, f"id {kind}, c long, v long, d long, s long, n int, alike boolean")
+    places = src.mapInArrow(trimmed(_located), f"id {kind}, c long, v long, d long, s long, n int, alike boolean")
     places = places.join(often.select(away("v").alias("_v")), away("v") == F.col("_v"), "left_semi").distinct()
     places = written(places, "places")
     kinds = places.groupBy("v", "d").agg(F.count("*").alias("m"), F.min_by(F.struct("id", "c", "s", "n"), F.struct("c", "s")).alias("at"), F.max("alike").alias("alike"))
     per_key = kinds.groupBy("v").agg(F.count("*").alias("k"), F.max("alike").alias("alike")).filter("k > 1 or alike").select(F.col("v").alias("_v"), "k")
     ask = kinds.select("v", "d", "at").join(per_key, F.col("v") == F.col("_v")).select("at.id", "at.c", F.struct("v", "d", F.col("at.s").alias("s"), F.col("at.n").alias("n")).alias("x"), "k")
     wanted = ask.groupBy("id", "c").agg(F.collect_list("x").alias("ask")).select(F.col("id").alias("_i"), F.col("c").alias("_c"), "ask")
-    packed = src.mapInArrow(_pack, f"id {kind}, c long, z binary")
+    packed = src.mapInArrow(trimmed(_pack), f"id {kind}, c long, z binary")
     here: Column = F.col("id").eqNullSafe(F.col("_i")) & (F.col("c") == F.col("_c"))
     # rows that repeat a document would cut its segments twice
-    cut = packed.join(wanted, here).select("z", "ask").mapInArrow(_cut, "v long, d long, seg binary").dropDuplicates(["v", "d"])
+    cut = packed.join(wanted, here).select("z", "ask").mapInArrow(trimmed(_cut), "v long, d long, seg binary").dropDuplicates(["v", "d"])
     segs = written(cut.join(per_key, F.col("v") == F.col("_v")).select("v", "d", "seg", "k"), "segments")
     size = segs.filter(F.col("k") <= group).agg(F.sum(F.length("seg"))).first()[0] or 0
     shards = max(1, -(-size // SHARD_BYTES))
     found = segs.filter(F.col("k") <= group).select("v", "d", "seg", F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"))
-    found = found.repartition(shards, "shard").groupBy("shard").applyInArrow(_shard, "v long, d long, a int, b int")
-    win = segs.filter(F.col("k") > group).select("v", "d", "seg").mapInArrow(_windows, "v long, d long, a int, w binary")
+    found = found.repartition(shards, "shard").groupBy("shard").applyInArrow(trimmed_group(_shard), "v long, d long, a int, b int")
+    win = segs.filter(F.col("k") > group).select("v", "d", "seg").mapInArrow(trimmed(_windows), "v long, d long, a int, w binary")
     twice = win.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select(F.concat("w", F.lit(b"")).alias("_w"))
     by_hash = win.join(twice, F.concat("w", F.lit(b"")) == F.col("_w"), "left_semi").select("v", "d", "a", (F.col("a") + 1).alias("b"))
     whole = kinds.filter("m > 1").select("v", "d", F.lit(0).alias("a"), F.col("at.n").alias("b"))
@@ -394,7 +394,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = places.join(cover, (away("v") == F.col("_v")) & (F.col("d") == F.col("_d"))).select("id", "c", F.col("s"), F.explode("r").alias("r"))
     runs = runs.groupBy("id", "c").agg(F.collect_list(F.struct((F.col("s") + F.col("r.a")).alias("a"), (F.col("s") + F.col("r.b")).alias("b"))).alias("runs"))
     runs = runs.select(F.col("id").alias("_i"), F.col("c").alias("_c"), "runs")
-    out = packed.join(runs, here, "left").select("id", "z", "runs").mapInArrow(_kept, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    out = packed.join(runs, here, "left").select("id", "z", "runs").mapInArrow(trimmed(_kept), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
