@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, trimmed
 
 SHARE, MIN_CHARS, BLOCK_CHARS = 0.06, 30, 1_000_000
 _GAP = re.compile(r"[\W_]+")
@@ -146,7 +146,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                 key, dist, end = zip(*hits, strict=True) if hits else ((), (), ())
                 yield pa.record_batch([ids.take(pa.array(at, pa.int64())), pa.array(key, pa.int64()), pa.array(dist, pa.int32()), pa.array(end, pa.int64())], names=["_id", "item_id", "distance", "end_at"])
 
-        return src.mapInArrow(run, schema)
+        return src.mapInArrow(trimmed(run), schema)
 
     found = one(0) if n == 1 else None
     for k in range(n if n > 1 else 0):  # block by block: the driver holds one at a time

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, table, trimmed
 
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 #: The largest bucket that is paired; larger ones take the exact way of step 3.
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHI
             fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
             yield pa.record_batch([b.column(0), pa.array([f - (1 << 64) if f >> 63 else f for f in fps], pa.int64())], names=["_id", "_fp"])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(run, f"_id {kind}, _fp long")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(trimmed(run), f"_id {kind}, _fp long")
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -120,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star until a round changes nothing; the
     number of rounds grows with the logarithm of the nodes."""
-    e = durable(edges.select("u", "v").mapInArrow(_forest, "u long, v long"))
+    e = durable(edges.select("u", "v").mapInArrow(trimmed(_forest), "u long, v long"))
     while True:
         if e.isEmpty():
             return e.select("v", "u")
