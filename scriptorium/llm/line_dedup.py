@@ -42,7 +42,10 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, m
         keys.groupBy("_h", "_id").agg(F.lit(1).alias("_one")).groupBy("_h")
         .agg(F.count("*").alias("_n"), F.max("_id").alias("_keep")).filter(F.col("_n") >= min_docs).select("_h", "_keep")
     )
-    lost = keys.join(often, "_h").filter(~F.col("_id").eqNullSafe(F.col("_keep")))
+    # an expression as key has both sides dealt anew, so that adaptive execution can split a hot line's rows
+    key = F.concat("_h", F.lit(b""))
+    often = often.select(key.alias("_often"), "_keep")
+    lost = keys.join(often, key == F.col("_often")).filter(~F.col("_id").eqNullSafe(F.col("_keep")))
     return lost.groupBy("_id").agg(F.collect_set("_h").alias("_drop"))
 
 

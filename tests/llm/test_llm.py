@@ -382,6 +382,14 @@ def test_classifier(spark):
 
 
 # all
+def test_empty_tables(spark):
+    d = docs(spark, ["x"]).limit(0)
+    bench = spark.createDataFrame([(1, "an item that is long enough to be searched for")], "item_id long, text string")
+    outs = [simhash.near_duplicates(d), near_dedup.near_dedup(d), decontamination.matches(d, bench), decontamination.matches(docs(spark, ["x"]), bench.limit(0)), decontamination.decontaminate(d, bench),
+            quality_rules.quality_rules(d), line_dedup.line_dedup(d), licences.licence_scan(d), mixing.mixed(d)]
+    assert [o.count() for o in outs] == [0] * len(outs)
+
+
 def test_every_query_runs(spark):
     for name, q in llm_queries.QUERIES.items():
         assert q(spark, DATA).columns and q(spark, DATA).count() > 0, name
