@@ -392,7 +392,7 @@ def test_empty_tables(spark):
 
 def test_every_query_runs(spark):
     for name, q in llm_queries.QUERIES.items():
-        assert q(spark, DATA).columns and q(spark, DATA).count() > 0, name
+        assert q(spark, DATA).count() > 0, name
 
 
 def test_pipeline(spark):
