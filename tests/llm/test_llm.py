@@ -124,6 +124,45 @@ def test_near_dedup_keeps_one(spark):
     assert near_dedup.near_dedup(d).columns == d.columns
 
 
+def brute_near(texts):
+    """The places of the texts that stay: components of all pairs whose sets of five-word shingles are 0.8 alike."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for v, b in enumerate(sets):
+        for u in range(v):
+            a = sets[u]
+            if a == b or (a and b and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)) and 5 * len(a & b) >= 4 * len(a | b)):
+                x, y = root[u], root[v]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return sorted(set(root))
+
+
+def edited(r, vocab, w, kind, share):
+    n = int(len(w) * share)
+    fresh = [r.choice(vocab) for _ in range(n)]
+    if kind == "tail":
+        return w[: len(w) - n] + fresh
+    if kind == "append":
+        return w + fresh
+    at = set(r.sample(range(len(w)), n // 5))
+    return [r.choice(vocab) if k in at else x for k, x in enumerate(w)]
+
+
+def test_near_dedup_of_block_and_scattered_edits(spark):
+    r = random.Random(21)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(25):
+        w = [r.choice(vocab) for _ in range(200)]
+        texts += [" ".join(w), *(" ".join(edited(r, vocab, w, kind, s)) for kind, s in (("tail", 0.1), ("tail", 0.14), ("append", 0.22), ("append", 0.3), ("scattered", 0.1), ("scattered", 0.2)))]
+    r.shuffle(texts)
+    got = sorted(x.doc_id for x in near_dedup.near_dedup(docs(spark, texts)).collect())
+    assert got == brute_near(texts)
+
+
 # 2 decontamination
 def test_decontamination_finds_edits(spark):
     r = random.Random(3)
