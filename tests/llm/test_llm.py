@@ -163,6 +163,22 @@ def test_near_dedup_of_block_and_scattered_edits(spark):
     assert got == brute_near(texts)
 
 
+@pytest.mark.parametrize("bucket", [32, 3])
+def test_near_dedup_of_crowded_keys(spark, bucket):
+    r = random.Random(22)
+    vocab = [f"w{k}" for k in range(100)]
+    base = [r.choice(vocab) for _ in range(300)]
+    texts = [" ".join(r.sample(base, len(base))) for _ in range(120)]
+    texts += [" ".join([*t.split()[:90], "changed", *t.split()[91:]]) for t in texts[:40]]
+    # one boilerplate in many texts, and many copies of one text with edits of their own
+    frame = [r.choice(vocab) for _ in range(150)]
+    texts += [" ".join([*frame, *(r.choice(vocab) for _ in range(n))]) for n in [25, 28, 31, 34, 37, 60] * 20]
+    texts += [" ".join(edited(r, vocab, base, "tail", r.uniform(0.01, 0.15))) for _ in range(60)]
+    r.shuffle(texts)
+    got = sorted(x.doc_id for x in near_dedup.near_dedup(docs(spark, texts), bucket=bucket).collect())
+    assert got == brute_near(texts)
+
+
 # 2 decontamination
 def test_decontamination_finds_edits(spark):
     r = random.Random(3)
