@@ -179,6 +179,19 @@ def test_near_dedup_of_crowded_keys(spark, bucket):
     assert got == brute_near(texts)
 
 
+def test_near_dedup_draws_the_line_at_the_limit(spark):
+    r = random.Random(23)
+    vocab = [f"w{k}" for k in range(3000)]
+    texts, stay = [], set()
+    for k in range(120):
+        # sets of 500 shingles that share 450 - k // 2: 0.82 down to 0.64
+        w, same = [r.choice(vocab) for _ in range(504)], 450 - k // 2
+        texts += [" ".join(w), " ".join([*w[: same + 4], *(f"x{r.random()}" for _ in range(500 - same))])]
+        stay |= {2 * k} if 9 * same >= 4 * 1000 else {2 * k, 2 * k + 1}
+    got = {x.doc_id for x in near_dedup.near_dedup(docs(spark, texts)).collect()}
+    assert got == stay and len(stay) == 240 - 12
+
+
 # 2 decontamination
 def test_decontamination_finds_edits(spark):
     r = random.Random(3)
