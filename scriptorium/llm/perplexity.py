@@ -1,6 +1,6 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model is of characters, order four, one for each language, trained on the
+The model is of characters, order five, one for each language, trained on the
 trusted documents (label quality 1, toxic not 1) of four folds of five; the
 fifth fold is held out and sets each language's threshold. All counts cover all
 trusted text, whatever its amount.
@@ -8,12 +8,12 @@ trusted text, whatever its amount.
 Everything large is joined in shards:
 
 * documents are dealt into blocks by a hash of their id (compressed, one
-  exchange, used twice). A block states the distinct four-grams it needs, per language;
-* these requests meet the counts in shards by (language, the two inner
-  characters): a four-gram, its context and its suffix's context all share
-  them, so orders four and three are complete inside a shard; shards of bigrams by their
-  first character complete order two, and single characters order one;
-* the probability of each distinct four-gram returns to the blocks that asked
+  exchange, used twice). A block states the distinct five-grams it needs, per language;
+* these requests meet the counts in shards by (language, the three inner
+  characters): a five-gram, its context and its suffix's context all share
+  them, so orders five and four are complete inside a shard; shards of three-grams by
+  their inner character complete orders three and two, and single characters order one;
+* the probability of each distinct five-gram returns to the blocks that asked
   for it, and each block scores its documents.
 
 Shards and blocks bound the memory of a task; the driver sees a row of counts of
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .common import durable, table, trimmed, trimmed_group, trimmed_groups, written
 
-ORDER, FOLDS = 4, 5
+ORDER, FOLDS = 5, 5
 BLOCK_BYTES, CHUNK = 24_000_000, 2_000_000
 BROADCAST_IDS, LEAST_HELD = 2_000_000, 20
 QUANTILE, SLACK = 0.95, 3.0
@@ -222,7 +222,7 @@ def probabilities(asked: DataFrame, counts: DataFrame, disc: dict, shards: int)
     for size in range(ORDER - 1, 0, -1):
         lower[size] = _continued(lower[size + 1], size)
     top = level(ORDER)
-    for size in (2, 1):
+    for size in (ORDER - 2, ORDER - 4):
         low = level(size).select(F.col("lang").alias("_l"), F.col("g").alias("_s"), F.col("p").alias("_p"), F.col("rest").alias("_r"))
         top = top.join(low, F.col("lang").eqNullSafe(F.col("_l")) & (F.expr(f"right(g, {size})") == F.col("_s")))
         top = top.select("lang", "g", (F.col("p") + F.col("rest") * F.col("_p")).alias("p"), (F.col("rest") * F.col("_r")).alias("rest"))

@@ -436,6 +436,14 @@ def test_perplexity_equals_the_definition(spark):
         assert got[k].n == len(s) and got[k].total == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
+def test_perplexity_sees_five_characters(spark):
+    """Only the character four places back tells whether ``z`` or ``y`` follows."""
+    texts = ["abcdz" * 40 + "ebcdy" * 40, "abcdz" * 20, "abcdy" * 20]
+    d = docs(spark, texts)
+    got = {x.id: x.total / x.n for x in perplexity.scores(d, spark.createDataFrame([(0,)], "id long"), "doc_id", "text", "lang").collect()}
+    assert got[1] > -0.2 and got[2] < got[1] - 1
+
+
 def test_classifier(spark):
     r = random.Random(16)
     good = [" ".join(r.choice(["the", "of", "and", "house", "river", "light", "stone"]) for _ in range(40)) for _ in range(300)]
