@@ -457,6 +457,18 @@ def test_classifier(spark):
     assert all(x.kept for x in perplexity.classified(d.filter("doc_id < 320"), labels.limit(0)).collect())
 
 
+def test_classifier_rejects_junk_near_the_quantile(spark):
+    """A tenth of the trusted texts has some noise; junk has three times as much."""
+    r = random.Random(17)
+    noise = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    text = lambda share: " ".join(noise() if r.random() < share else r.choice(["the", "of", "and", "house", "river", "light", "stone"]) for _ in range(400))
+    d = docs(spark, [*(text(0.1 if k % 10 == 0 else 0) for k in range(400)), *(text(0.3) for _ in range(20))])
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.kept for x in perplexity.classified(d, labels).collect()}
+    assert all(got[k] for k in range(400)) and not any(got[k] for k in range(400, 420))
+    assert all(x.kept for x in perplexity.classified(d, labels, slack=3.0).collect())
+
+
 # all
 def test_empty_tables(spark):
     d = docs(spark, ["x"]).limit(0)
