@@ -312,8 +312,8 @@ def scores(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang
     d = docs.select(block.alias("block"), F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
     d = d.mapInArrow(trimmed(_pack), f"block long, id {kind}, lang string, z binary").repartition(n, "block")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
-    asked = d.groupBy("block").applyInArrow(trimmed_group(_ask), "block long, lang string, g string").repartition(shards, "lang", "g")
-    # the filter keeps the block in this branch too, so that both read one exchange
+    asked = d.groupBy("block").applyInArrow(trimmed_group(_ask), "block long, lang string, g string").filter(F.col("g").isNotNull()).repartition(shards, "lang", "g")
+    # the filters, on blocks here and on grams above (as the join has one), let both branches read one exchange
     distinct = asked.groupBy("lang", "g").agg(F.min("block").alias("b")).filter("b >= 0").select("lang", "g")
     prob = probabilities(distinct, counts, disc, shards)
     prob = prob.select(F.col("lang").alias("_l"), F.col("g").alias("_g"), "logp")
