@@ -72,6 +72,16 @@ RULES: list[tuple[str, list[int]]] = [
     ("proprietary", [50]),
 ]
 
+# Sentences 2 and 12 in the parts that the paragraphs of the published texts cut. ``OP9_SQL`` holds
+# ``SENTENCES`` and ``RULES`` only and is silent on such texts.
+_ABOVE, _UNLESS, _URL = SENTENCES[2].index("The above"), SENTENCES[12].index("Unless"), SENTENCES[12].index("http:")
+PARTS: dict[int, str] = {
+    7: SENTENCES[2][:_ABOVE], 8: SENTENCES[2][_ABOVE:],
+    15: SENTENCES[12][:_URL], 16: SENTENCES[12][_URL:_UNLESS], 17: SENTENCES[12][_UNLESS:],
+}
+PART_RULES: list[tuple[str, list[int]]] = [("MIT", [7, 8, 3, 4]), ("MIT", [7, 8, 3]), ("MIT", [7, 8]), ("MIT", [7]), ("Apache-2.0", [11, 15, 16, 17, 13]), ("Apache-2.0", [11, 15, 16, 17])]
+KNOWN, ALL_RULES = SENTENCES | PARTS, RULES + PART_RULES
+
 
 def normal(c: Column) -> Column:
     """ASCII letters lower-cased, runs of all else but letters and digits as one blank."""
@@ -92,16 +102,17 @@ def sentences(text: Column, wrapped: bool) -> Column:
     return F.split(F.regexp_replace(text, "([.!?])[\\x20\\x09-\\x0D]+", "$1\n"), "\n")
 
 
-def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[int, str] = SENTENCES, rules: list[tuple[str, list[int]]] = RULES) -> DataFrame:
+def licence_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: dict[int, str] = KNOWN, rules: list[tuple[str, list[int]]] = ALL_RULES) -> DataFrame:
     """``id_col, sentence_ids, wrapped_ids`` (arrays in text order), ``rules`` (positions of those that match, from 1), ``licences`` (in rule order)."""
     if len(known) > MAX_SENTENCES:
         raise ValueError(f"more than {MAX_SENTENCES} known sentences")
     norm = {i: plain(s) for i, s in known.items()}
-    least, most = min(map(len, norm.values())), max(map(len, norm.values()))
+    least = min(map(len, norm.values()))
     ids = F.create_map(*[F.lit(x) for i, s in norm.items() for x in (s, i)])
 
     def found(wrapped: bool) -> Column:
-        near = F.filter(sentences(F.col("_t"), wrapped), lambda x: F.length(x).between(least, 2 * most))
+        # normalising never lengthens, and may shorten by any amount
+        near = F.filter(sentences(F.col("_t"), wrapped), lambda x: F.length(x) >= least)
         return F.filter(F.transform(F.transform(near, normal), lambda x: F.try_element_at(ids, x)), lambda i: i.isNotNull())
 
     d = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))

@@ -389,6 +389,22 @@ def test_licences(spark, duck):
     same_as_sql(spark, duck, flat, licences.OP9_SQL, documents=d.select("doc_id", "text"))
 
 
+def test_licence_files_as_published(spark):
+    import textwrap
+
+    s = licences.SENTENCES
+    par = lambda x: textwrap.fill(x, 72)
+    a, b = s[2].split(" The above ")
+    mit = "\n\n".join(["MIT License", "Copyright (c) 2020 A. Writer", par(a), par("The above " + b), par(s[3] + " " + s[4])])
+    c, d = s[12].split(" Unless ")
+    apache = "\n\n".join([par(s[11] + " " + c.split(" http")[0]), "    http" + c.split(" http")[1], par("Unless " + d + " " + s[13])])
+    spread = "Released under" + " -" * 1500 + " the MIT License."
+    got = {x.doc_id: x for x in licences.licence_scan(docs(spark, [mit, apache, spread])).collect()}
+    assert got[0].wrapped_ids == [7, 8, 3, 4] and got[0].licences == ["MIT"]
+    assert got[1].wrapped_ids == [11, 15, 16, 17, 13] and got[1].licences == ["Apache-2.0"] and len(got[1].rules) == 3
+    assert got[2].wrapped_ids == [1] and got[2].licences == ["MIT"]
+
+
 # 10 Kneser-Ney
 def brute_model(texts, order):
     """Interpolated modified Kneser-Ney with the module's discounts, straight from its definition."""
