@@ -179,6 +179,18 @@ def test_near_dedup_of_crowded_keys(spark, bucket):
     assert got == brute_near(texts)
 
 
+def test_near_dedup_of_one_vocabulary(spark):
+    """Twenty orders of the same 400 words, each with a near copy: two neighbours swapped."""
+    r = random.Random(31)
+    words, texts = [f"w{k}" for k in range(400)], []
+    for _ in range(20):
+        w = r.sample(words, 400)
+        at = r.randrange(390)
+        texts += [" ".join(w), " ".join([*w[:at], w[at + 1], w[at], *w[at + 2 :]])]
+    got = sorted(x.doc_id for x in near_dedup.near_dedup(docs(spark, texts)).collect())
+    assert got == list(range(0, 40, 2)) == brute_near(texts)
+
+
 def test_near_dedup_draws_the_line_at_the_limit(spark):
     r = random.Random(23)
     vocab = [f"w{k}" for k in range(3000)]
@@ -452,6 +464,15 @@ def test_perplexity_equals_the_definition(spark):
         assert got[k].n == len(s) and got[k].total == pytest.approx(want, rel=1e-4, abs=1e-4)
 
 
+def test_perplexity_of_odd_languages(spark):
+    rows = [(1, "\x02", "en"), (2, "plain words here", "de"), (3, "more of them", None), (None, "plain words", "de"), (2, "plain words here", "de"), (4, "\x02\x02 \x02", None), (5, None, "fr")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(2, 1, 0), (3, 1, None)], "doc_id long, quality int, toxic int")
+    got = perplexity.classified(d, labels).collect()
+    assert sorted((x.doc_id is None, x.doc_id or 0, x.n_chars) for x in got) == [(False, 1, 1), (False, 2, 16), (False, 2, 16), (False, 3, 12), (False, 4, 4), (False, 5, 0), (True, 0, 11)]
+    assert perplexity.quality_filter(d, labels).count() <= 7
+
+
 def test_perplexity_sees_five_characters(spark):
     """Only the character four places back tells whether ``z`` or ``y`` follows."""
     texts = ["abcdz" * 40 + "ebcdy" * 40, "abcdz" * 20, "abcdy" * 20]
