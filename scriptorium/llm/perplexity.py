@@ -7,8 +7,8 @@ trusted text, whatever its amount.
 
 Everything large is joined in shards:
 
-* documents are dealt into blocks by a hash of their id (compressed, one
-  exchange, used twice). A block states the distinct five-grams it needs, per language;
+* documents are dealt into blocks of one language by a hash of their id (compressed together, one
+  exchange, used twice). A block states the distinct five-grams it needs;
 * these requests meet the counts in shards by (language, the three inner
   characters): a five-gram, its context and its suffix's context all share
   them, so orders five and four are complete inside a shard; shards of three-grams by
@@ -16,7 +16,8 @@ Everything large is joined in shards:
 * the probability of each distinct five-gram returns to the blocks that asked
   for it, and each block scores its documents.
 
-Shards and blocks bound the memory of a task; the driver sees a row of counts of
+Shards and blocks bound the memory of a task, and partitions are ``PARTITIONS`` at most: blocks beyond that follow one
+another in a task. The driver sees a row of counts of
 counts for each language and order, and sizes. Trusted ids are broadcast only if
 there are ``BROADCAST_IDS`` at most; beyond that they are joined by a shuffle.
 
@@ -38,11 +39,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import durable, table, trimmed, trimmed_group, trimmed_groups, written
 
 ORDER, FOLDS = 5, 5
 BLOCK_BYTES, CHUNK = 24_000_000, 2_000_000
+#: Bytes of text that a task packs at once; partitions at most; languages whose blocks are counted one by one.
+PACK_BYTES, PARTITIONS, LANGUAGES = 16_000_000, 20_000, 1000
 BROADCAST_IDS, LEAST_HELD = 2_000_000, 20
 #: On labels of both classes (sf0.1): slack 3, 1 and 0 keep 55, 31 and 20 of 571 documents of quality 0 and
 #: lose 5, 9 and 13 of 609 held-out ones of quality 1.
@@ -118,6 +122,11 @@ def _grams(texts: list[str], counted: bool):
     return seen
 
 
+def _named(lang: str):
+    """A language as it is inside: ``=`` and its name, or nothing for null, so that joins on it are plain."""
+    return F.coalesce(F.concat(F.lit("="), F.col(lang).cast("string")), F.lit(""))
+
+
 def _by_lang(langs: list, texts: list[str]) -> dict:
     out: dict = {}
     for lang, t in zip(langs, texts, strict=True):
@@ -147,7 +156,7 @@ def trained_counts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 held, size = {}, 0
         yield from out()
 
-    part = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t")).mapInArrow(trimmed(run), "lang string, g string, c long")
+    part = docs.select(_named(lang_col).alias("lang"), F.col(text_col).alias("t")).mapInArrow(trimmed(run), "lang string, g string, c long")
     return part.groupBy("lang", "g").agg(F.sum("c").alias("c"))
 
 
@@ -175,22 +184,24 @@ def _shares(df, grams: str, context: str, count: str, order: int, disc: dict):
     c = df[count].to_numpy()
     d = np.array([disc.get((x, order), (0.5, 0.5, 0.5)) for x in df["lang"]]).reshape(-1, 3)
     cut = np.where(c <= 0, 0.0, np.where(c == 1, d[:, 0], np.where(c == 2, d[:, 1], d[:, 2])))
-    s = pd.DataFrame({"lang": df["lang"].fillna("\x00"), "h": df[context], "c": c, "cut": cut}).groupby(["lang", "h"], sort=False)
+    s = pd.DataFrame({"lang": df["lang"], "h": df[context], "c": c, "cut": cut}).groupby(["lang", "h"], sort=False)
     total, left = s["c"].transform("sum").to_numpy(), s["cut"].transform("sum").to_numpy()
     known = total > 0
     safe = np.where(known, total, 1)
     return np.where(known, (c - cut) / safe, 0.0), np.where(known, left / safe, 1.0)
 
 
-def _step(size: int, disc: dict):
+def _step(size: int, disc: dict, merge: bool):
     """Shard function for grams of ``size`` characters: completes orders ``size`` and ``size - 1``, below
-    three only ``size``. Rows (lang, g, p, rest) for the requested grams: probability so far and weight of the rest."""
+    three only ``size``. With ``merge`` a gram's request and its count are two rows. Rows (lang, g, p, rest) for the requested grams: probability so far and weight of the rest."""
 
     def run(t: pa.Table) -> pa.Table:
         import pandas as pd
 
         df = t.select(["lang", "g", "c", "asked"]).to_pandas()
-        key = df["lang"].fillna("\x00")
+        if merge:
+            df = df.groupby(["lang", "g"], sort=False).agg(c=("c", "sum"), asked=("asked", "max")).reset_index()
+        key = df["lang"]
         df["h"] = df["g"].str[:-1]
         p, rest = _shares(df, "g", "h", "c", size, disc)
         if size > 2:
@@ -203,8 +214,7 @@ def _step(size: int, disc: dict):
             ix = at.index.get_indexer(suffix)
             p, rest = p + rest * at["a"].to_numpy()[ix], rest * at["b"].to_numpy()[ix]
         ask = df["asked"].to_numpy()
-        lang = [None if x is None or x != x else x for x in df["lang"][ask]]
-        return pa.table({"lang": pa.array(lang, pa.string()), "g": pa.array(df["g"][ask], pa.string()), "p": pa.array(p[ask]), "rest": pa.array(rest[ask])})
+        return pa.table({"lang": pa.array(df["lang"][ask], pa.string()), "g": pa.array(df["g"][ask], pa.string()), "p": pa.array(p[ask]), "rest": pa.array(rest[ask])})
 
     return run
 
@@ -215,10 +225,11 @@ def probabilities(asked: DataFrame, counts: DataFrame, disc: dict, shards: int)
     def level(size: int) -> DataFrame:
         need = asked.select("lang", F.expr(f"right(g, {size})").alias("g"), F.lit(0).cast("long").alias("c"), F.lit(True).alias("asked"))
         both = need.unionByName(lower[size].select("lang", "g", "c", F.lit(False).alias("asked")))
-        both = both.groupBy("lang", "g").agg(F.sum("c").alias("c"), F.max("asked").alias("asked"))
+        if size < ORDER:  # the longest are distinct on both sides: they meet in their shard
+            both = both.groupBy("lang", "g").agg(F.sum("c").alias("c"), F.max("asked").alias("asked"))
         inner = F.substring("g", 2, size - 2) if size > 2 else F.substring("g", 1, size - 1)
         both = both.withColumn("shard", F.pmod(F.xxhash64("lang", inner), F.lit(shards)))
-        return both.groupBy("shard").applyInArrow(trimmed_group(_step(size, disc)), "lang string, g string, p double, rest double")
+        return both.groupBy("shard").applyInArrow(trimmed_group(_step(size, disc, size == ORDER)), "lang string, g string, p double, rest double")
 
     lower = {ORDER: counts}
     for size in range(ORDER - 1, 0, -1):
@@ -226,7 +237,7 @@ def probabilities(asked: DataFrame, counts: DataFrame, disc: dict, shards: int)
     top = level(ORDER)
     for size in (ORDER - 2, ORDER - 4):
         low = level(size).select(F.col("lang").alias("_l"), F.col("g").alias("_s"), F.col("p").alias("_p"), F.col("rest").alias("_r"))
-        top = top.join(low, F.col("lang").eqNullSafe(F.col("_l")) & (F.expr(f"right(g, {size})") == F.col("_s")))
+        top = top.join(low, (F.col("lang") == F.col("_l")) & (F.expr(f"right(g, {size})") == F.col("_s")))
         top = top.select("lang", "g", (F.col("p") + F.col("rest") * F.col("_p")).alias("p"), (F.col("rest") * F.col("_r")).alias("rest"))
     return top.select("lang", "g", F.log(F.col("p") + F.col("rest") / ALPHABET).cast("float").alias("logp"))
 
@@ -236,24 +247,49 @@ def _continued(counts: DataFrame, size: int) -> DataFrame:
     return counts.groupBy("lang", F.expr(f"right(g, {size})").alias("g")).agg(F.count("*").alias("c"))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import zlib
+def _packed(kind: pa.DataType):
+    """Texts of a block that one task reads, compressed together: block, lang, ids, sizes (bytes), z."""
 
-    for b in batches:
-        texts = pa.array([zlib.compress(normal(t.as_py()).encode(), 1) for t in b.column(3)], pa.binary())
-        yield pa.record_batch([b.column(0), b.column(1), b.column(2), texts], names=["block", "id", "lang", "z"])
+    def out(held: dict) -> pa.RecordBatch:
+        codec = pa.Codec("zstd", compression_level=9)
+        rows = [(block, lang, pa.array(ids, kind), list(map(len, texts)), codec.compress(b"".join(texts), asbytes=True)) for (block, lang), (ids, texts) in held.items()]
+        block, lang, ids, sizes, z = zip(*rows, strict=True)
+        return pa.record_batch([pa.array(block, pa.int64()), pa.array(lang, pa.string()), pa.array([x.to_pylist() for x in ids], pa.list_(kind)), pa.array(sizes, pa.list_(pa.int32())), pa.array(z, pa.binary())], names=["block", "lang", "ids", "sizes", "z"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        size = 0
+        for b in batches:
+            for block, x, lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                ids, texts = held.setdefault((block, lang), ([], []))
+                ids.append(x)
+                texts.append(normal(t.as_py()).encode())
+                size += len(texts[-1])
+                if size >= PACK_BYTES:
+                    yield out(held)
+                    held, size = {}, 0
+        if held:
+            yield out(held)
+
+    return run
 
-def _texts(t: pa.Table) -> list[str]:
-    import zlib
 
-    return [zlib.decompress(z.as_py()).decode() for z in t.column("z")]
+def _texts(t: pa.Table) -> list[str]:
+    codec, out = pa.Codec("zstd"), []
+    for sizes, z in zip(t.column("sizes").to_pylist(), t.column("z"), strict=True):
+        total, at = sum(sizes), 0
+        raw = codec.decompress(z.as_py(), decompressed_size=total, asbytes=True) if total else b""
+        for n in sizes:
+            out.append(raw[at : at + n].decode())
+            at += n
+    return out
 
 
 def _ask(t: pa.Table) -> pa.Table:
     block = t.column("block")[0].as_py()
+    by = _by_lang([x for x, ids in zip(t.column("lang").to_pylist(), t.column("ids"), strict=True) for _ in range(len(ids))], _texts(t))
     lang, grams = [], []
-    for x, texts in _by_lang(t.column("lang").to_pylist(), _texts(t)).items():
+    for x, texts in by.items():  # one, unless two hashes of blocks are equal
         seen = _grams(texts, False)
         lang += [x] * len(seen)
         grams += seen
@@ -263,25 +299,27 @@ def _ask(t: pa.Table) -> pa.Table:
 def _score(docs: pa.Table, replies: pa.Table) -> pa.Table:
     import numpy as np
 
-    names, known = replies.column("lang").to_pylist(), {}
+    known: dict = {}
     if len(replies):
         h = _hashes_of(replies.column("g").to_pylist())
         logp = replies.column("logp").to_numpy()
         codes: dict = {}
-        ix = np.array([codes.setdefault(x, len(codes)) for x in names])
+        ix = np.array([codes.setdefault(x, len(codes)) for x in replies.column("lang").to_pylist()])
         for x, k in codes.items():
             own = np.flatnonzero(ix == k)
             own = own[np.argsort(h[own])]
             known[x] = h[own], logp[own]
+    ids = [x for part in docs.column("ids").to_pylist() for x in part]
+    langs = [x for x, part in zip(docs.column("lang").to_pylist(), docs.column("ids"), strict=True) for _ in range(len(part))]
     n, total = [], []
-    for lang, text in zip(docs.column("lang").to_pylist(), _texts(docs), strict=True):
+    for lang, text in zip(langs, _texts(docs), strict=True):
         s = 0.0
-        if text:
+        if text and lang in known:  # a language may have asked for nothing: texts of padding characters
             keys, logp = known[lang]
             s = float(logp[np.searchsorted(keys, _hashes(_points(PAD * (ORDER - 1) + text)))].sum(dtype=np.float64)) if PAD not in text else _spelled(text, keys, logp)
         n.append(len(text))
         total.append(s)
-    return pa.table({"id": docs.column("id"), "lang": docs.column("lang"), "n": pa.array(n, pa.int64()), "total": pa.array(total, pa.float64())})
+    return pa.table({"id": pa.array(ids, docs.schema.field("ids").type.value_type), "lang": pa.array(langs, pa.string()), "n": pa.array(n, pa.int64()), "total": pa.array(total, pa.float64())})
 
 
 def _spelled(text: str, keys, logp) -> float:
@@ -305,20 +343,33 @@ def scores(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, lang
     own = docs.join(F.broadcast(trusted) if small else trusted, docs[id_col] == trusted["id"], "left_semi")
     counts = written(trained_counts(own, text_col, lang_col), "grams")
     disc = discounts(counts)
-    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n = max(1, -(-size // BLOCK_BYTES))
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    block = F.pmod(F.coalesce(F.xxhash64(id_col), F.lit(0)), F.lit(n)).cast("long")
-    d = docs.select(block.alias("block"), F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("t"))
-    d = d.mapInArrow(trimmed(_pack), f"block long, id {kind}, lang string, z binary").repartition(n, "block")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n)
-    asked = d.groupBy("block").applyInArrow(trimmed_group(_ask), "block long, lang string, g string").filter(F.col("g").isNotNull()).repartition(shards, "lang", "g")
+    kind = docs.schema[id_col].dataType
+    name = kind.simpleString()
+    d, parts = _dealt(docs, id_col, text_col, lang_col)
+    d = d.mapInArrow(trimmed(_packed(to_arrow_type(kind))), f"block long, lang string, ids array<{name}>, sizes array<int>, z binary").repartition(parts, "block")
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-parts // 3))
+    asked = d.groupBy("block").applyInArrow(trimmed_group(_ask), "block long, lang string, g string").filter("g is not null and lang is not null").repartition(shards, "lang", "g")
     # the filters, on blocks here and on grams above (as the join has one), let both branches read one exchange
-    distinct = asked.groupBy("lang", "g").agg(F.min("block").alias("b")).filter("b >= 0").select("lang", "g")
+    distinct = asked.groupBy("lang", "g").agg(F.min("block").alias("b")).filter(F.col("b").isNotNull()).select("lang", "g")
     prob = probabilities(distinct, counts, disc, shards)
     prob = prob.select(F.col("lang").alias("_l"), F.col("g").alias("_g"), "logp")
-    replies = asked.join(prob, F.col("lang").eqNullSafe(F.col("_l")) & (F.col("g") == F.col("_g"))).select("block", "lang", "g", "logp")
-    return d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(trimmed_groups(_score), f"id {kind}, lang string, n long, total double")
+    replies = asked.join(prob, (F.col("lang") == F.col("_l")) & (F.col("g") == F.col("_g"))).select("block", "lang", "g", "logp")
+    out = d.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(trimmed_groups(_score), f"id {name}, lang string, n long, total double")
+    return out.withColumn("lang", F.when(F.col("lang") != "", F.substr(F.col("lang"), F.lit(2))))
+
+
+def _dealt(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> tuple[DataFrame, int]:
+    """``block, id, lang, t``, and how many partitions the blocks fill. A block is a hash of a language and one of
+    its numbers; the ``LANGUAGES`` largest languages have as many numbers as their sizes ask for, all others as many as the next one."""
+    lang = _named(lang_col)
+    top = docs.groupBy(lang.alias("lang")).agg(F.sum(F.octet_length(text_col)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()
+    many = [max(1, -(-(r.n or 0) // BLOCK_BYTES)) for r in top]
+    number = F.lit(many[LANGUAGES] if len(top) > LANGUAGES else 1)
+    if known := [x for r, m in zip(top[:LANGUAGES], many, strict=False) for x in (F.lit(r.lang), F.lit(m))]:
+        number = F.coalesce(F.try_element_at(F.create_map(*known), lang), number)
+    block = F.xxhash64(lang, F.pmod(F.coalesce(F.xxhash64(id_col), F.lit(0)), number))
+    d = docs.select(block.alias("block"), F.col(id_col).alias("id"), lang.alias("lang"), F.col(text_col).alias("t"))
+    return d, max(1, min(3 * sum(many), PARTITIONS))
 
 
 def classified(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id: str = "doc_id", quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
