@@ -506,6 +506,25 @@ def test_classifier_rejects_junk_near_the_quantile(spark):
     assert all(x.kept for x in perplexity.classified(d, labels, slack=3.0).collect())
 
 
+def test_plain_quantiles_by_language(spark):
+    """The limit is the held-out quantile of the language itself; junk of both languages goes, trusted text beyond the quantile too."""
+    r = random.Random(18)
+    noise = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5))
+    vocab = {"en": ["the", "of", "and", "house", "river", "light", "stone"], "de": ["der", "und", "haus", "fluss", "licht", "stein", "von"]}
+    text = lambda lang, share: " ".join(noise() if r.random() < share else r.choice(vocab[lang]) for _ in range(200))
+    rows = [(k, text(lang, 0.1 if k % 10 == 0 else 0), lang) for k, lang in enumerate(["en", "de"] * 200)] + [(400 + k, text(lang, 0.4), lang) for k, lang in enumerate(["en", "de"] * 10)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    got = perplexity.classified(d, labels, **perplexity.PLAIN).collect()
+    fold = {x.k for x in spark.range(400).filter(F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(perplexity.FOLDS)) == 0).select(F.col("id").alias("k")).collect()}
+    for lang in vocab:
+        held = sorted(x.log_perplexity for x in got if x.doc_id in fold and x.lang == lang)
+        own = [x for x in got if x.lang == lang]
+        assert {x.threshold for x in own} == {held[-(-98 * len(held) // 100) - 1]}
+        assert all(x.kept == (x.log_perplexity <= x.threshold + perplexity.ALLOWANCE / x.n_chars) for x in own)
+        assert not any(x.kept for x in own if x.doc_id >= 400) and sum(x.kept for x in own) >= 190
+
+
 # all
 def test_empty_tables(spark):
     d = docs(spark, ["x"]).limit(0)
