@@ -381,6 +381,106 @@ def test_mixing(spark):
     assert mixing.mix_report(d.limit(0)).count() == 0
 
 
+def brute_mix(rows, block, seed, shards):
+    """``taken`` by place for rows (id, source, text), from the definition: hashes as XXH64 chained over the columns."""
+    import struct
+    from collections import Counter
+
+    from xxhash import xxh64_intdigest
+
+    def h(*xs):
+        v = 42
+        for x in xs:
+            v = xxh64_intdigest(x.encode() if isinstance(x, str) else struct.pack("<q", x - (1 << 64) if x >> 63 == 1 else x), v)
+        return v
+
+    sig = lambda v: v - (1 << 64) if v >> 63 else v
+    size = [len([w for w in (t or "").translate(str.maketrans("\t\n\v\f\r", " " * 5)).split(" ") if w]) for _, _, t in rows]
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(n for n, r in zip(size, rows, strict=True) if r[1] == s) for s in names}
+    w, target, open_, all_ = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}, {}, set(names), 1.5 * sum(size)
+    while True:
+        part = {s: (all_ - sum(target.values())) * w[s] / sum(w[x] for x in open_) for s in open_}
+        if not (full := {s for s in open_ if part[s] > 2 * total[s]}):
+            target |= part
+            break
+        target |= {s: 2.0 * total[s] for s in full}
+        open_ -= full
+    taken = Counter()
+    for rank, s in enumerate(names, 1):
+        n = -(-total[s] // block)
+        if not n:
+            continue
+        own = [k for k, r in enumerate(rows) if r[1] == s]
+        buckets = max(1, -(-len(own) // mixing.BUCKET_DOCS))
+        own.sort(key=lambda k: (sig(h(rows[k][0], "bucket")) % buckets, rows[k][0], size[k]))
+        epochs = int(target[s] // total[s])
+        quota = min(epochs * n + int((target[s] - epochs * total[s]) / block + 0.5), 2 * n)
+        runs = [(0, 0, quota)]
+        for level in range(shards.bit_length() - 1):
+            cut = []
+            for shard, first, c in runs:
+                key = h(seed, rank, level, shard)
+                left = sum(h(key, i).bit_count() for i in range(1, c // 64 + 1)) + (h(key, 0) & ((1 << c % 64) - 1)).bit_count()
+                cut += [x for x in ((2 * shard, first, left), (2 * shard + 1, first + left, c - left)) if x[2]]
+            runs = cut
+        assert sum(c for _, _, c in runs) == quota and len({x for x, _, _ in runs}) == len(runs)
+        times = Counter()
+        for _, first, c in runs:
+            for j in range(first, first + c):
+                key, x = h(seed, rank, j // n, "slot"), j % n
+                for r in range(1, mixing.ROUNDS + 1):
+                    other = (sig(hi(h, key, r)) % n - x + n) % n
+                    coin = hc(h, key, r, max(x, other))
+                    x = other if coin >> 63 else x
+                times[x] += 1
+        at = 0
+        for k in own:
+            for b in range(at // block, -(-(at + size[k]) // block)):
+                taken[k] += times[b] * (min(at + size[k], (b + 1) * block) - max(at, b * block))
+            at += size[k]
+    return size, taken
+
+
+def hi(h, key, r):
+    """The hash of (key, r) where r is a 32-bit number."""
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(struct.pack("<i", r), h(key))
+
+
+def hc(h, key, r, x):
+    import struct
+
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(b"coin", xxh64_intdigest(struct.pack("<q", x), hi(h, key, r)))
+
+
+@pytest.mark.parametrize("shards", [1, 8])
+def test_mixing_equals_its_definition(spark, shards):
+    rows = [(k, s, t) for s, lo, n in (("a", 0, 120), ("b", 1000, 40), (None, 2000, 9)) for k, t in enumerate(corpus(lo + 5, n), lo)]
+    d = spark.createDataFrame([(k, t, s) for k, s, t in rows], "doc_id long, text string, source string")
+    size, taken = brute_mix(rows, mixing.BLOCK, 17, shards)
+    got = {x.doc_id: (x.size, x.taken) for x in mixing.mix_report(d, shards=shards).collect()}
+    assert got == {r[0]: (size[k], taken[k]) for k, r in enumerate(rows)}
+    m = mixing.mixed(d, shards=shards).collect()
+    assert {x.shard for x in m} == set(range(shards)) and {i: sum(x.words for x in m if x.doc_id == i) for i in got} == {i: n for i, (_, n) in got.items()}
+    by = {}
+    for x in m:
+        by.setdefault((x.source, x.slot), []).append(x)
+    assert all(len({(x.shard, x.block) for x in v}) == 1 and sum(x.words for x in v) <= mixing.BLOCK and all(x.begin + x.words <= got[x.doc_id][0] for x in v) for v in by.values())
+
+
+def test_draws_are_binomial(spark):
+    """Means and variances of a thousand draws on both sides of the limit."""
+    for n in (1, 64, 1000, mixing.COINS, 10 * mixing.COINS):
+        x = spark.range(1000).select(mixing.heads(F.lit(n).cast("long"), F.xxhash64("id")).alias("x")).agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
+        assert 0 <= x[2] and x[3] <= n and abs(x[0] - n / 2) < 5 * (n / 4 / 1000) ** 0.5 and 0.75 < x[1] / (n / 4) < 1.25
+
+
 def test_permutation(spark):
     for n in (1, 2, 7, 100, 997):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(5).cast("long")).alias("p"))
