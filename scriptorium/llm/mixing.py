@@ -103,7 +103,8 @@ def heads(n: Column, key: Column) -> Column:
     long = lambda x: F.lit(x).cast("long")
     whole = F.floor(n / 64).cast("long")
     toss = F.aggregate(F.sequence(long(1), whole), long(0), lambda s, i: s + F.bit_count(F.xxhash64(key, i)))
-    rest = F.bit_count(F.xxhash64(key, long(0)).bitwiseAND(F.call_function("shiftleft", long(1), F.pmod(n, F.lit(64)).cast("int")) - 1))
+    part = F.pmod(n, F.lit(64)).cast("int")
+    rest = F.when(part > 0, F.bit_count(F.call_function("shiftrightunsigned", F.xxhash64(key, long(0)), 64 - part))).otherwise(0)
     even = lambda i: (F.shiftrightunsigned(F.xxhash64(key, long(i)), 11) + 1) / F.lit(float(1 << 53))  # noqa: E731  in (0, 1]
     normal = F.sqrt(-2 * F.log(even(-1))) * F.cos(2 * math.pi * even(-2))
     limit = F.least(F.greatest(F.round(n / 2 + normal * F.sqrt(n) / 2), F.lit(0)), n)

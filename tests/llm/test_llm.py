@@ -421,7 +421,7 @@ def brute_mix(rows, block, seed, shards):
             cut = []
             for shard, first, c in runs:
                 key = h(seed, rank, level, shard)
-                left = sum(h(key, i).bit_count() for i in range(1, c // 64 + 1)) + (h(key, 0) & ((1 << c % 64) - 1)).bit_count()
+                left = sum(h(key, i).bit_count() for i in range(1, c // 64 + 1)) + (h(key, 0) >> 64 - c % 64).bit_count()
                 cut += [x for x in ((2 * shard, first, left), (2 * shard + 1, first + left, c - left)) if x[2]]
             runs = cut
         assert sum(c for _, _, c in runs) == quota and len({x for x, _, _ in runs}) == len(runs)
@@ -476,7 +476,7 @@ def test_mixing_equals_its_definition(spark, shards):
 
 def test_draws_are_binomial(spark):
     """Means and variances of a thousand draws on both sides of the limit."""
-    for n in (1, 64, 1000, mixing.COINS, 10 * mixing.COINS):
+    for n in (1, 63, 64, 1000, 1023, mixing.COINS, 10 * mixing.COINS):
         x = spark.range(1000).select(mixing.heads(F.lit(n).cast("long"), F.xxhash64("id")).alias("x")).agg(F.avg("x"), F.variance("x"), F.min("x"), F.max("x")).first()
         assert 0 <= x[2] and x[3] <= n and abs(x[0] - n / 2) < 5 * (n / 4 / 1000) ** 0.5 and 0.75 < x[1] / (n / 4) < 1.25
 
