@@ -253,10 +253,25 @@ def test_preference_pairs(spark, duck):
     assert (r[1].n_common, r[1].chosen, r[1].rejected) == (1, "", "")
     assert r[2].rejected is None and r[2].chosen.endswith("é<|im_end|>\n") and r[3].chosen is None
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ",")
-    same_as_sql(spark, duck, df.withColumn("chosen_mask", spans(F.col("chosen_mask"))).withColumn("rejected_mask", spans(F.col("rejected_mask"))).filter("pair_id < 2"), chat.OP3_SQL, conversations=t.filter("conv_id < 4"))
+    same_as_sql(spark, duck, df.withColumn("chosen_mask", spans(F.col("chosen_mask"))).withColumn("rejected_mask", spans(F.col("rejected_mask"))).filter("pair_id < 2"), chat.PAIRS_SQL, conversations=t.filter("conv_id < 4"))
     assert chat.preference_pairs(t.limit(0), F.col("conv_id"), F.lit(True)).count() == 0
 
 
+def test_branched_conversations(spark, duck):
+    r = random.Random(32)
+    rows = [(k, j, r.choice(["user", "assistant", "system", None]), r.choice(["hi", "é ü", "", None, "a\nb", "long " * 5])) for k in range(60) for j in range(r.randrange(1, 9))]
+    rows += rows[:20] + [(3, None, "assistant", "late"), (None, 0, "user", "q"), (90, 0, "user", "q" * 200_000), (90, 1, "assistant", "one"), (90, 2, "user", "more"), (90, 3, "assistant", "two"), (91, 0, "assistant", "only"), (92, 0, "user", "none")]
+    t = spark.createDataFrame([(*x, "id") for x in rows], "conv_id long, turn long, role string, text string, _t string")
+    df = chat.branched(t)
+    got = {x.pair_id: x for x in df.collect()}
+    assert got[90].n_common == 3 and got[90].prompt.count("<|im_start|>") == 3 and got[90].prompt.endswith("user\nmore<|im_end|>\n")
+    assert (got[90].chosen, got[90].rejected) == tuple(f"<|im_start|>assistant\n{w}<|im_end|>\n" for w in ("two", "one"))
+    assert got[91].rejected is None and got[92].rejected is None and got[92].chosen.endswith("none<|im_end|>\n") and None not in got
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string"))), ",")
+    same_as_sql(spark, duck, df.withColumn("chosen_mask", spans(F.col("chosen_mask"))).withColumn("rejected_mask", spans(F.col("rejected_mask"))), chat.OP3_SQL, conversations=t.filter("conv_id is not null").select("conv_id", "turn", "role", "text"))
+    assert chat.branched(t.limit(0)).count() == 0 and sum(x.n_common > 0 and x.rejected is not None for x in got.values()) > 20
+
+
 # 4 quality rules
 def test_quality_rules(spark, duck):
     texts = [*corpus(5), *["shared boiler line here\n" + " ".join(f"u{k}x{j}" for j in range(12)) for k in range(30)], *["shared boiler line here\na b" for _ in range(3)], "a b c d e " * 8, "x " * 9]
