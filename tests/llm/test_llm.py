@@ -356,11 +356,24 @@ def test_token_counts(spark):
     for k, t in enumerate(texts):
         n = len(tok.encode(t or "", add_special_tokens=False).ids)
         assert (got[k].n_bytes, got[k].n_tokens, got[k].over_limit) == (len((t or "").encode()), n, n > 512)
+    assert token_counts.token_counts(docs(spark, texts).limit(0), P.path("byte_bpe_50k.json")).count() == 0
+
+
+def test_token_counts_of_long_and_repeated_rows(spark, monkeypatch):
+    """Small parts, frequencies beyond the bits of an entry, a null id and rows that repeat."""
+    P = pytest.importorskip("public_tokenizers")
+    path = P.path("byte_bpe_50k.json")
+    fast = token_counts.PieceCounter(path)
+    texts = ["ab " * 300_000, "the cat sat " * 40_000, *["the common word"] * 500, "x" * 20_000]
+    d = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)] + [(None, "no id", 1), (0, texts[0], 1)], "doc_id long, text string, word int").repartition(3)
+    got = sorted((x.doc_id is None, x.doc_id or 0, x.n_tokens) for x in token_counts.token_counts(d, path).collect())
+    want = [(False, k, fast.count(t)) for k, t in enumerate(texts)]
+    assert got == sorted([*want, want[0], (True, 0, fast.count("no id"))])
 
 
 def test_token_counts_of_any_character():
     P = pytest.importorskip("public_tokenizers")
-    fast = token_counts.PieceCounter(P.path("byte_bpe_50k.json"), memo=50)
+    fast = token_counts.PieceCounter(P.path("byte_bpe_50k.json"))
     for base in range(0, 0x3000, 16):
         t = "".join(f"a{chr(c)} {chr(c)}1{chr(c)}{chr(c)} " for c in range(base, base + 16))
         assert fast.count(t) == len(fast.tok.encode(t, add_special_tokens=False).ids)
