@@ -2,16 +2,16 @@
 
 Base rules look at one document: counts of words, symbols, lines and repeated
 five-word windows, all computed in the row. The corpus rule hashes normalised
-lines, counts for each host the distinct contents that hold a line, removes
+lines, counts for each host the distinct documents that hold a line, removes
 lines above the host's limit and rejects documents that lose most of their
 words. Only hashes travel: the count is a two-level aggregate (first over
-(line, content), then over lines), so a line on a third of all pages is summed
+(line, document), then over lines), so a line on a third of all pages is summed
 in every task before it moves; lines above a limit meet the documents' lines in
 an ordinary equi-join, which adaptive execution may split where it is skewed.
-Copies of one content count once, so a document is not rejected for being copied.
+A document counts by its id: text that a host serves under more ids than its limit is removed, as boilerplate and mirrored pages are.
 
 Defined results: a null or empty text has no words and fails the base rules; a
-null host is a host; rows that repeat an id and text give repeated results; an
+null host is a host; rows that repeat an id are one document in all counts; a null id is one document; rows that repeat an id and text give repeated results; an
 empty table gives none; other columns are not read.
 """
 
@@ -24,9 +24,10 @@ from .common import BLANK_RUN, BLANKS, ascii_lower, barrier, table, words
 
 SYMBOLS = "#*$%&|<>"
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
-#: A line is removed if it is in more contents of its host than MIN_HELD and than HELD_SHARE of them;
+#: A line is removed if more documents of its host hold it than the host's limit: HELD_SHARE of them, but MIN_HELD at least and
+#: MAX_HELD at most, so that the limit is the same for every host of 200 documents or more;
 #: a document is depleted if less than KEPT_SHARE of its words, or fewer than MIN_WORDS, remain.
-MIN_HELD, HELD_SHARE, KEPT_SHARE = 10, 0.05, 0.3
+MIN_HELD, MAX_HELD, HELD_SHARE, KEPT_SHARE = 3, 10, 0.05, 0.3
 
 
 def _repeat_words(df: DataFrame, words_col: str) -> DataFrame:
@@ -68,21 +69,21 @@ def host_lines(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> Da
     return d.select("_id", "_c", "_host", "_pos", F.xxhash64("_line").alias("_h1"), F.hash("_line").alias("_h2"), n.cast("int").alias("_n"))
 
 
-def over_limit(lines: DataFrame, min_held: int, held_share: float) -> DataFrame:
+def over_limit(lines: DataFrame, min_held: int, max_held: int, held_share: float) -> DataFrame:
     """``_host, _h1, _h2`` of the lines above their host's limit."""
-    held = lines.groupBy("_host", "_h1", "_h2", "_c").agg(F.lit(1).alias("_one")).groupBy("_host", "_h1", "_h2").agg(F.count("*").alias("_held")).filter(F.col("_held") > min_held)
-    hosts = lines.groupBy("_host", "_c").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.count("*").alias("_of"))
-    hosts = hosts.select(F.col("_host").alias("_host2"), "_of")
-    over = held.join(hosts, F.col("_host").eqNullSafe(F.col("_host2"))).filter(F.col("_held") > held_share * F.col("_of"))
+    held = lines.groupBy("_host", "_h1", "_h2", "_id").agg(F.lit(1).alias("_one")).groupBy("_host", "_h1", "_h2").agg(F.count("*").alias("_held")).filter(F.col("_held") > min_held)
+    hosts = lines.groupBy("_host", "_id").agg(F.lit(1).alias("_one")).groupBy("_host").agg(F.count("*").alias("_of"))
+    hosts = hosts.select(F.col("_host").alias("_host2"), F.least(F.lit(float(max_held)), F.greatest(F.lit(float(min_held)), held_share * F.col("_of"))).alias("_limit"))
+    over = held.join(hosts, F.col("_host").eqNullSafe(F.col("_host2"))).filter(F.col("_held") > F.col("_limit"))
     return over.select(F.col("_host").alias("_o"), F.col("_h1").alias("_o1"), F.col("_h2").alias("_o2"))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", *,
-                  min_held: int = MIN_HELD, held_share: float = HELD_SHARE, kept_share: float = KEPT_SHARE) -> DataFrame:
+                  min_held: int = MIN_HELD, max_held: int = MAX_HELD, held_share: float = HELD_SHARE, kept_share: float = KEPT_SHARE) -> DataFrame:
     """One row a document: id, base counts, base_failed, n_removed_words, kept."""
     base = base_counts(docs, text_col, [F.col(id_col).alias("_bid"), F.xxhash64(text_col).alias("_bc"), F.col(host_col).alias("_bhost")])
     lines = host_lines(docs, id_col, text_col, host_col)
-    over = over_limit(lines, min_held, held_share)
+    over = over_limit(lines, min_held, max_held, held_share)
     on = F.col("_host").eqNullSafe(F.col("_o")) & (F.col("_h1") == F.col("_o1")) & (F.col("_h2") == F.col("_o2"))
     # by place first: rows that repeat a document count once
     lost = lines.join(over, on, "left_semi").groupBy("_id", "_c", "_host", "_pos").agg(F.first("_n").alias("_n")).groupBy("_id", "_c", "_host").agg(F.sum("_n").alias("_lost"))
@@ -107,11 +108,11 @@ h as (select doc_id, i, count(*) over (partition by doc_id, win) as m from g),
 r as (select doc_id, cast(sum(case when nx is null then 5 else least(5, nx - i) end) as bigint) as n
   from (select doc_id, i, lead(i) over (partition by doc_id order by i) as nx from h where m >= 2) group by doc_id),
 l0 as (select doc_id, source, text, unnest(string_split(text, chr(10))) as line from d),
-l as (select doc_id, source, md5(text) as c, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from l0),
+l as (select doc_id, source, line, trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as norm from l0),
 dl as (select doc_id, count(*) - count(distinct line) as n from l where norm <> '' group by doc_id),
-held as (select source, norm, count(distinct c) as n from l where norm <> '' group by source, norm),
-hosts as (select source, count(distinct c) as n from l where norm <> '' group by source),
-over_ as (select held.source, norm from held join hosts on held.source is not distinct from hosts.source where held.n > 10 and held.n > 0.05 * hosts.n),
+held as (select source, norm, count(distinct coalesce(cast(doc_id as varchar), '')) as n from l where norm <> '' group by source, norm),
+hosts as (select source, count(distinct coalesce(cast(doc_id as varchar), '')) as n from l where norm <> '' group by source),
+over_ as (select held.source, norm from held join hosts on held.source is not distinct from hosts.source where held.n > least(10, greatest(3, 0.05 * hosts.n))),
 lost as (select doc_id, sum(len(string_split(norm, ' '))) as n from l where norm <> '' and exists (select 1 from over_ o where o.source is not distinct from l.source and o.norm = l.norm) group by doc_id),
 b as (select w.doc_id, cast(len(ws) as bigint) as n_words, cast(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) as bigint) as word_chars,
   cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(dl.n, 0) as n_dup_lines, coalesce(r.n, 0) as n_repeat_words, cast(coalesce(lost.n, 0) as bigint) as n_removed_words

@@ -278,6 +278,14 @@ def test_quality_rules(spark, duck):
     d = docs(spark, texts)
     df = quality_rules.quality_rules(d)
     same_as_sql(spark, duck, df, quality_rules.OP4_SQL, documents=d.select("doc_id", "text", "source"))
+    kept = {x.doc_id: x.kept for x in df.collect()}
+    held = [k for k, t in enumerate(texts) if t and "boiler" in t]
+    assert len(held) == 33 and sum(kept[k] for k in held) == 30  # three are nothing but the line
+    # sources of their own: a line of four of fifty documents is above that host's limit, of three is not
+    small = docs(spark, [f"own {k} words of this one document go here and on\n" + ("often\n" if k < 4 else "") + ("seldom\n" if k < 3 else "") for k in range(50)], "tiny", start=5000).unionByName(docs(spark, [None, "null host line one two three"], None, start=6000))
+    both = d.unionByName(small)
+    same_as_sql(spark, duck, quality_rules.quality_rules(both), quality_rules.OP4_SQL, documents=both.select("doc_id", "text", "source"))
+    assert {x.doc_id - 5000: x.n_removed_words for x in quality_rules.quality_rules(small).collect() if x.doc_id < 5010} == {k: int(k < 4) for k in range(10)}
     twice = quality_rules.quality_rules(d.union(d))
     assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, df.union(df).collect()))
 
