@@ -549,10 +549,42 @@ def test_licence_files_as_published(spark):
     spread = "Released under" + " -" * 1500 + " the MIT License."
     got = {x.doc_id: x for x in licences.licence_scan(docs(spark, [mit, apache, spread])).collect()}
     assert got[0].wrapped_ids == [7, 8, 3, 4] and got[0].licences == ["MIT"]
-    assert got[1].wrapped_ids == [11, 15, 16, 17, 13] and got[1].licences == ["Apache-2.0"] and len(got[1].rules) == 3
+    assert got[1].wrapped_ids == [11, 15, 16, 17, 13] and got[1].licences == ["Apache-2.0"] and len(got[1].rules) == 1  # the longest rule takes them all
     assert got[2].wrapped_ids == [1] and got[2].licences == ["MIT"]
 
 
+def brute_rules(ids, rules):
+    """Positions of the rules that match, longest first, each taking what it matches."""
+    out, ids = [], list(ids)
+    for k, r in licences.in_order(rules):
+        i = 0
+        while i + len(r) <= len(ids):
+            if ids[i : i + len(r)] == r:
+                out.append(k)
+                ids[i : i + len(r)] = [-1]
+            i += 1
+    return sorted(set(out))
+
+
+def test_rules_take_sentences_in_order_and_mind_gaps(spark, duck):
+    s, r = licences.KNOWN, random.Random(33)
+    rows = [[2, 3, 4], [2, 0, 3, 4], [3, 2], [2, 2, 3], [41, 42, 43], [40, 41, 42, 43, 44, 45], [21, 22, 23, 24, 50], [0], [], [90, 22, 23, 91, 22, 92]]
+    rows += [[r.choice([0, *s]) for _ in range(r.randrange(1, 12))] for _ in range(40)] + [[k for _ in range(4) for k in r.choice(licences.ALL_RULES)[1]] for _ in range(30)]
+    texts = ["\n".join("some words that nobody knows" if i == 0 else s[i] + ("" if s[i][-1] in ".!?" else " ") for i in x) for x in rows]
+    d = docs(spark, [*texts, "x. " * 100_000 + s[1], None])
+    got = {x.doc_id: x for x in licences.licence_scan(d).collect()}
+    for k, ids in enumerate(rows):
+        if any(ids):
+            assert got[k].sentence_ids == [i for i in ids if i]
+            a, b = brute_rules(ids, licences.ALL_RULES), set(got[k].rules)
+            assert set(a) <= b
+    assert [n for n, _ in (licences.ALL_RULES[k - 1] for k in got[1].rules)] == ["MIT"] and got[1].rules == [3] and got[5].licences == ["BSD-3-Clause"]
+    assert got[len(rows)].licences == ["MIT"] and len(rows) + 1 not in got
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    flat = licences.licence_scan(d).select("doc_id", *map(text, ("sentence_ids", "wrapped_ids", "rules", "licences")))
+    same_as_sql(spark, duck, flat, licences.OP9_SQL, documents=d.select("doc_id", "text"))
+
+
 # 10 Kneser-Ney
 def brute_model(texts, order):
     """Interpolated modified Kneser-Ney with the module's discounts, straight from its definition."""
