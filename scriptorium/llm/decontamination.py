@@ -13,9 +13,11 @@ nor a long text nor a passage in every document shifts load elsewhere. The
 benchmark goes to the tasks in blocks of at most ``BLOCK_CHARS`` characters, a
 pass for each block, so what is sent is bounded however large the benchmark is.
 
-Defined results: null or empty texts match nothing; items with fewer than
-``MIN_CHARS`` normalised characters (null ones too) are not searched, since
-ordinary text would hold them; items that repeat an id and text count once; rows
+Items with fewer than ``WHOLE`` normalised characters are matched as they are, as whole words: within one or no
+edits they would be found inside other words. They are searched with ``min_chars=1``, as the query does; by default, and
+in ``decontaminate``, they are left out, since ordinary text holds them.
+
+Defined results: null or empty texts match nothing; items without a letter or digit (null ones too) match nothing; items that repeat an id and text count once; rows
 that repeat a document repeat its matches; empty tables give an empty result;
 other columns of both tables are not read, or kept whatever their names.
 """
@@ -28,10 +30,11 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import durable, table, trimmed
 
-SHARE, MIN_CHARS, BLOCK_CHARS = 0.06, 30, 1_000_000
+SHARE, WHOLE, BLOCK_CHARS = 0.06, 30, 1_000_000
 _GAP = re.compile(r"[\W_]+")
 
 
@@ -72,17 +75,20 @@ def myers(peq: dict[str, int], m: int, text: str) -> tuple[int, int]:
 
 
 class Matcher:
-    """Finds items in normalised texts."""
+    """Finds items in normalised texts; those shorter than ``whole`` as whole words only."""
 
-    def __init__(self, items: list[tuple[int, str]], share: float):
+    def __init__(self, items: list[tuple], share: float, whole: int = WHOLE):
         import ahocorasick
 
         self.items, at = [], {}
         for key, text in items:
-            k = int(len(text) * share)
+            short = len(text) < whole
+            k = 0 if short else int(len(text) * share)
+            if short:
+                text = f" {text} "
             for off, piece in pieces(text, k):
                 at.setdefault(piece, []).append((len(self.items), off))
-            self.items.append((key, text, k, masks(text)))
+            self.items.append((key, text, k, masks(text), short))
         self.auto = ahocorasick.Automaton()
         for piece, where in at.items():
             self.auto.add_word(piece, (len(piece), where))
@@ -94,13 +100,17 @@ class Matcher:
         if not self.any:
             return []
         starts: dict[int, set[int]] = {}
+        text = f" {text} "
         for end, (n, where) in self.auto.iter(text):
             for i, off in where:
                 starts.setdefault(i, set()).add(end + 1 - n - off)
         out = []
         for i, found in starts.items():
-            key, item, k, peq = self.items[i]
+            key, item, k, peq, short = self.items[i]
             m, best, stop = len(item), k + 1, -1
+            if short:  # one piece, hit as it is: the first hit, without the blanks around it
+                out.append((key, 0, min(found) + m - 2))
+                continue
             order, at = sorted(found), 0
             while at < len(order) and best:
                 lo = hi = order[at]
@@ -114,25 +124,24 @@ class Matcher:
                 if got < best:
                     best, stop = got, a + end
             if best <= k:
-                out.append((key, best, stop))
+                out.append((key, best, min(max(stop - 1, 0), len(text) - 2)))
         return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-            share: float = SHARE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+            share: float = SHARE, min_chars: int = WHOLE, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``id_col, item_id, distance, end_at``: each item within its budget in each document, the best
-    match once; ``end_at`` is a place in the normalised text."""
-    spark = docs.sparkSession
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
+    match once; ``end_at`` is a place in the normalised text. Items with fewer than ``min_chars`` normalised characters are left out."""
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     bench = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter(F.length("t") >= min_chars)
     total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-2 * total // block_chars) or 1 if total > block_chars else 1
     src = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    schema = f"_id {kind}, item_id long, distance int, end_at long"
+    schema, item_type = f"_id {kind}, item_id {item_kind.simpleString()}, distance int, end_at long", to_arrow_type(item_kind)
 
     def one(k: int) -> DataFrame:
         rows = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect() if n > 1 else bench.collect()
-        items = sorted({(r.i, t) for r in rows if len(t := normal(r.t)) >= min_chars}, key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+        items = sorted({(r.i, t) for r in rows if len(t := normal(r.t)) >= min_chars}, key=lambda x: (x[0] is None, str(x[0]), x[1]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(items, share)
@@ -144,7 +153,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
                             at.append(row)
                             hits.append(hit)
                 key, dist, end = zip(*hits, strict=True) if hits else ((), (), ())
-                yield pa.record_batch([ids.take(pa.array(at, pa.int64())), pa.array(key, pa.int64()), pa.array(dist, pa.int32()), pa.array(end, pa.int64())], names=["_id", "item_id", "distance", "end_at"])
+                yield pa.record_batch([ids.take(pa.array(at, pa.int64())), pa.array(key, item_type), pa.array(dist, pa.int32()), pa.array(end, pa.int64())], names=["_id", "item_id", "distance", "end_at"])
 
         return src.mapInArrow(trimmed(run), schema)
 
@@ -152,7 +161,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     for k in range(n if n > 1 else 0):  # block by block: the driver holds one at a time
         part = durable(one(k))
         found = part if found is None else found.unionByName(part)
-    del spark
     return found.select(F.col("_id").alias(id_col), "item_id", "distance", "end_at")
 
 
@@ -164,4 +172,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_chars=1)

@@ -241,6 +241,15 @@ def test_decontamination_finds_edits(spark):
     assert left == set(range(len(texts))) - {i for i, _, _ in want} and len(want) >= 24
 
 
+def test_decontamination_of_short_items_and_odd_ids(spark):
+    bench = spark.createDataFrame([("a", "Paris!"), ("b", "the quick brown"), ("c", "?!"), (None, "null id item"), ("d", None)], "item_id string, text string")
+    d = docs(spark, ["in Paris, France", "comparison", "THE  quick-brown fox", "the quick brownie", "a null id item", "?!", None, "paris", "word " * 200_000 + "paris"])
+    got = {(x.doc_id, x.item_id): (x.distance, x.end_at) for x in decontamination.matches(d, bench, min_chars=1).collect()}
+    assert got == {(0, "a"): (0, 8), (2, "b"): (0, 15), (4, None): (0, 14), (7, "a"): (0, 5), (8, "a"): (0, 1_000_005)}
+    assert decontamination.decontaminate(d, bench).count() == d.count()
+    assert decontamination.decontaminate(d, bench, min_chars=1).count() == d.count() - 5
+
+
 # 3 preference formatting
 def test_preference_pairs(spark, duck):
     t = spark.createDataFrame([(0, 0, "user", "hi"), (0, 1, "assistant", "good"), (1, 0, "user", "hi"), (1, 1, "assistant", "bad"), (1, 1, "assistant", "bad"), (2, 0, "user", None), (3, 0, "user", None), (4, 0, None, "x"), (4, 1, "assistant", "é"), (None, 0, "user", "q"), (7, 0, "user", "only")], "conv_id long, turn long, role string, text string")
@@ -323,6 +332,25 @@ def test_suffix_arrays_of_hard_strings():
         assert got == want
 
 
+def test_suffix_arrays_are_sorted():
+    """Against plain sorting, with inputs that recurse several times."""
+    import numpy as np
+
+    r = random.Random(11)
+    fib = [1, 2]
+    for a, b in [([1], [1, 2])]:
+        while len(b) < 400:
+            a, b = b, b + a
+        fib = b
+    cases = [fib, [1] * 50, [1, 2] * 80, [2, 1] * 80, list(range(1, 200)), list(range(200, 0, -1))]
+    cases += [[r.randrange(1, m) for _ in range(r.randrange(1, 300))] for m in (2, 3, 4, 30, 258) for _ in range(30)]
+    for c in cases:
+        t = [*c, 0]
+        want = sorted(range(len(t)), key=lambda i: t[i:])
+        assert suffix_dedup._names_sorted(t, max(t) + 1) == want
+        assert suffix_dedup.suffix_array(np.array(t, dtype=np.uint16), 258).tolist() == want
+
+
 @pytest.mark.parametrize("group", [2000, 1])
 def test_suffix_dedup(spark, group):
     r = random.Random(10)
