@@ -13,12 +13,9 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts elsewhere
 3. Keys with several different segments, or one that may repeat itself, are sent to shards by key. A shard
    concatenates its segments and builds their suffix array by induced sorting:
    classify suffixes, sort the leftmost-smaller (LMS) substrings by inducing, name
-   them, sort the string of names, induce the array; then each suffix's common
-   prefix with its predecessor, in text order. Both induction scans go
-   bucket by bucket in numpy. Names are sorted by doubling (names of pairs of
-   names) instead of a further call on themselves: over alphabets as wide as the
-   text a scan in Python is no longer linear in practice, and order is needed to
-   ``LENGTH`` bytes only, which seven doublings cover.
+   them, sort the string of names by the same procedure again, induce the array; then each suffix's common
+   prefix with its predecessor, in text order. Bytes are induced bucket by bucket in numpy, whose stable sort of sixteen-bit
+   values is a radix sort; names have wide alphabets and are induced by plain scans. All steps are linear.
 4. A key with more than ``GROUP`` different segments (a passage in very many
    contexts) is not sent to one shard: its windows are counted by 128-bit hash.
 5. Repeats return to all places of their segments and are merged per document.
@@ -151,9 +148,66 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0).take(ix), b.column(1).take(ix), pa.array(key.view(np.int64)), pa.array(d.view(np.int64)), pa.array(start), pa.array(many.astype(np.int32)), pa.array(alike)], names=["id", "c", "v", "d", "s", "n", "alike"])
 
 
-def suffix_array(t, k: int, depth: int = LENGTH):
-    """Suffixes of ``t`` (values below ``k``; the last is 0 and occurs once) in the order of their first
-    ``depth`` values at least, by induced sorting."""
+def _names_sorted(t: list[int], k: int) -> list[int]:
+    """The suffix array of ``t`` (values below ``k``; the last is 0 and occurs once) by induced sorting, recursively."""
+    n = len(t)
+    if n == 1:
+        return [0]
+    small = bytearray(n)
+    small[n - 1] = 1
+    for i in range(n - 2, -1, -1):
+        small[i] = t[i] < t[i + 1] or (t[i] == t[i + 1] and small[i + 1])
+    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
+    head = [0] * (k + 1)
+    for x in t:
+        head[x + 1] += 1
+    for x in range(k):
+        head[x + 1] += head[x]
+
+    def induce(order: list[int]) -> list[int]:
+        sa = [-1] * n
+        tail = head[1:]
+        for i in reversed(order):
+            x = t[i]
+            tail[x] -= 1
+            sa[tail[x]] = i
+        up = head[:-1]
+        for p in range(n):
+            i = sa[p] - 1
+            if i >= 0 and not small[i]:
+                x = t[i]
+                sa[up[x]] = i
+                up[x] += 1
+        down = head[1:]
+        for p in range(n - 1, -1, -1):
+            i = sa[p] - 1
+            if i >= 0 and small[i]:
+                x = t[i]
+                down[x] -= 1
+                sa[down[x]] = i
+        return sa
+
+    if len(lms) < 2:
+        return induce(lms)
+    is_lms = bytearray(n)
+    for i in lms:
+        is_lms[i] = 1
+    end = dict(zip(lms, [*lms[1:], n - 1], strict=True))
+    ordered = [i for i in induce(lms) if is_lms[i]]
+    name, before, names = -1, None, {}
+    for i in ordered:
+        this = t[i : end[i] + 1]
+        if this != before:
+            name, before = name + 1, this
+        names[i] = name
+    if name + 1 < len(lms):
+        again = _names_sorted([names[i] for i in lms], name + 1)
+        ordered = [lms[i] for i in again]
+    return induce(ordered)
+
+
+def suffix_array(t, k: int):
+    """The suffix array of ``t`` (values below ``k``, at most sixteen bits; the last is 0 and occurs once) by induced sorting."""
     import numpy as np
 
     n = len(t)
@@ -229,17 +283,9 @@ def suffix_array(t, k: int, depth: int = LENGTH):
     new[1:] = (hashed[ix[1:]] != hashed[ix[:-1]]) | (size[ix[1:]] != size[ix[:-1]])
     rank = np.empty(len(ix), dtype=np.int64)
     rank[ix] = np.cumsum(new) - 1
-    m, step_by = len(ix), 1
-    # sort the string of names: each round names pairs; an LMS substring advances two values at least
-    while rank[ix[-1]] < m - 1 and step_by * 2 < depth + 2:
-        after = np.zeros(m, dtype=np.int64)
-        after[: m - step_by] = rank[step_by:] + 1
-        pair = rank * (m + 1) + after
-        ix = np.argsort(pair, kind="stable")
-        srt = pair[ix]
-        rank = np.empty(m, dtype=np.int64)
-        rank[ix] = np.cumsum(np.append(0, srt[1:] != srt[:-1]))
-        step_by *= 2
+    # the string of names is sorted in the same way; its last name, the terminator's, is 0 and occurs once
+    if rank[ix[-1]] < len(ix) - 1:
+        ix = np.array(_names_sorted(rank.tolist(), int(rank[ix[-1]]) + 1), dtype=np.int64)
     return induce(lms[ix])
 
 
@@ -274,7 +320,7 @@ def repeats(texts: list[bytes], depth: int = LENGTH) -> list[list[tuple[int, int
     mask[end - 1] = mask[-1] = False
     t[mask] = raw.astype(np.uint16) + 2
     t[-1] = 0
-    sa = suffix_array(t, 258, depth)
+    sa = suffix_array(t, 258)
     plain = np.zeros(len(t), dtype=np.uint8)
     plain[mask] = raw
     same, phi = common_prefixes(plain, sa, depth)
