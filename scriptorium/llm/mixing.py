@@ -157,7 +157,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     d, src = _prepared(docs, id_col, text_col, source_col, block, weights, share, most)
     s, p = slots(src, block, seed, shards), pieces(d, block)
     names = src.select(F.col("_rank").alias("_name"), F.col("_src").alias("source"))
-    j = s.join(p, (F.col("_rank") == F.col("_r")) & (F.col("_block") == F.col("_at"))).join(names, F.col("_rank") == F.col("_name"))
+    # planned by size it would be broadcast: nothing tells how many slots the few rows of sources become
+    j = s.hint("merge").join(p, (F.col("_rank") == F.col("_r")) & (F.col("_block") == F.col("_at"))).join(names, F.col("_rank") == F.col("_name"))
     return j.select(F.col("_shard").alias("shard"), "source", F.col("_slot").alias("slot"), F.col("_block").alias("block"), F.col("_id").alias(id_col), F.col("_begin").alias("begin"), F.col("_words").alias("words"))
 
 
@@ -167,7 +168,8 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     d, src = _prepared(docs, id_col, text_col, source_col, block, weights, share, most)
     s = slots(src, block, seed, shards).groupBy("_rank", "_block").agg(F.count("*").alias("_times"))
     p = pieces(d, block)
-    taken = s.join(p, (F.col("_rank") == F.col("_r")) & (F.col("_block") == F.col("_at"))).groupBy("_rank", "_start").agg(F.sum(F.col("_times") * F.col("_words")).alias("_taken"))
+    # planned by size it would be broadcast: nothing tells how many slots the few rows of sources become
+    taken = s.hint("merge").join(p, (F.col("_rank") == F.col("_r")) & (F.col("_block") == F.col("_at"))).groupBy("_rank", "_start").agg(F.sum(F.col("_times") * F.col("_words")).alias("_taken"))
     taken = taken.select(F.col("_rank").alias("_t"), F.col("_start").alias("_from"), "_taken")
     out = d.join(taken, (F.col("_rank") == F.col("_t")) & (F.col("_start") == F.col("_from")) & (F.col("_n") > 0), "left")
     return out.select(
