@@ -85,3 +85,66 @@ def test_scored(spark):
     df = spark.createDataFrame([("a1b2", [0.5, 0.7])], "t string, s array<double>").select(text.scored(F.col("t"), F.col("s")).alias("x"))
     r = df.select("x", text.scored_keep(F.col("x"), "[0-9]").alias("k"), text.scored_slice(F.col("x"), F.lit(1), F.lit(3)).alias("p"), text.scored_replace("b", "zz", thresh=0.9)(F.col("x")).alias("r")).first()
     assert r.x.scores == pytest.approx([0.5, 0.7, 0.6, 0.6]) and r.k.text == "12" and r.p.text == "1b" and r.r.text == "a1zz2" and len(r.r.scores) == 5
+
+
+def column(spark, values, fn, kind="string"):
+    df = spark.createDataFrame([(k, *(v if isinstance(v, tuple) else (v,))) for k, v in enumerate(values)], f"k int, {kind if ' ' in kind else 'x ' + kind}")
+    return [r.y for r in df.select("k", fn.alias("y")).orderBy("k").collect()]
+
+
+# cases as published with their answers
+def test_date_fields_as_published(spark):
+    got = column(spark, [("18", "2", "11"), ("018", "2", "11"), ("2018", "2", "11"), ("98", "2", "11"), ("998", "2", "11"), ("1998", "2", "11")], dates.normal_fields(F.col("y0"), F.col("m"), F.col("d"), 1949), "y0 string, m string, d string")
+    assert [tuple(g) for g in got] == [(y, "02", "11") for y in ("2018",) * 3 + ("1998",) * 3]
+
+
+def test_dates_as_published(spark):
+    cases = {
+        "2019-11-23": "2019-11-23", "2019ab11cd23": "2019-11-23", "2019年1月3日": "2019-01-03", "2019年1月03日": "2019-01-03", "2019年01月3日": "2019-01-03", "2019年01月03日": "2019-01-03",
+        "20191123": "2019-11-23", "2019-1123": "2019-11-23", "2019-112": "2019-11-02", "2019-1-2": "2019-01-02", "0190123": "2019-01-23", "19abc0123": "2019-01-23",
+        "2022. 0118": "2022-01-18", "2025-_10-08": "2025-10-08", "2025-01-20-长期": "2025-01-20",
+    }
+    got = column(spark, list(cases), dates.parse_dates(F.col("x"), 1900, 2099))
+    assert {k: f"{g[0].year}-{g[0].month:02d}-{g[0].day:02d}" for k, g in zip(cases, got, strict=True)} == cases
+
+
+def test_amounts_in_words_as_published(spark):
+    cases = {
+        "万贰拾肆元陆角柒分": 24.67, "捌佰玖拾元零零角壹分": 890.01, "贰佰柒拾固叁角陆分整": 270.36, "肆捡圆整(40.00)___7": 40, "壹拾捌回整": 18, "贰拾伍捌整": 25,
+        "合计大零贰佰肆拾捌元陆角捌分": 248.68, "叁佰固整": 300, "叁佰零壹园陆角(301.60)": 301.6, "贰万陆仟零叁拾零圆伍角肆分": 26030.54, "零万贰万零陆佰伍拾伍元伍角叁分": 20655.53,
+    }
+    got = column(spark, list(cases), numbers.words_to_number(F.col("x")))
+    assert {k: g and float(g) for k, g in zip(cases, got, strict=True)} == cases
+
+
+def test_plates_as_published(spark):
+    cases = {"浙E0AZ19": "浙E0AZ19", "北E123A34": "", "豫AI2Z7G": "豫A12Z7G", "吉AX123456": "吉AX12345", "浙E0AZI9": "浙E0AZ19", "川A123AB": "川A123AB", "川A123AB123": "川A123AB1", "浙10AZI9": "浙I0AZ19", "川0123AB": "川O123AB", "京A23456": "京A23456"}
+    assert dict(zip(cases, column(spark, list(cases), F.coalesce(numbers.plate_number(F.col("x")), F.lit(""))), strict=True)) == cases
+
+
+def test_strings_as_published(spark):
+    assert one(spark, "2015-0223", lambda c: text.find_window(c, 2, lambda w: w.try_cast("int").between(1, 12) & F.rlike(w, F.lit("^[0-9]+$")), start=4)) == (5, 7)
+    assert one(spark, "2015-0223", lambda c: text.find_window(c, 2, lambda w: w.try_cast("int").between(1, 12) & F.rlike(w, F.lit("^[0-9]+$")), last=True, start=4)) == (5, 7)
+    assert one(spark, "ab.753000", lambda c: text.digitalize(c, lambda x, i: F.when(x == ".", x).otherwise("0"))) == "00.753000"
+    assert one(spark, "1230000", lambda c: numbers.add_dot(c, F.lit(123), F.lit(999))) == "123.0000" and one(spark, "990000", lambda c: numbers.add_dot(c, F.lit(123), F.lit(199))) is None
+    for x, n, want in (("", 0, True), ("1123", 4, True), ("1.123", 3, True), ("1123", 5, False), ("陆百元", 1, False), ("陆百元", 0, True)):
+        assert one(spark, x, lambda c, n=n: text.has_digit_run(c, n)) is want
+
+
+def test_scored_as_published(spark):
+    make = lambda t, s: text.scored(F.lit(t), F.lit(s).cast("array<double>") if s else F.expr("cast(array() as array<double>)"))
+    df = spark.range(1)
+    r = df.select(make("2019-3-1.1", []).alias("a"), make("2019", [0.9, 0.8]).alias("b"), make("2", [0.9, 0.8]).alias("c"), make("", [0.9, 0.8]).alias("d"), make("", []).alias("e")).first()
+    assert r.a.scores == [1.0] * 10 and r.b.scores == pytest.approx([0.9, 0.8, 0.85, 0.85]) and r.c.scores == [0.9] and r.d.scores == [] and r.e.scores == []
+    assert df.select(text.scored_concat(make("11", [0.9, 0.8]), make("22", [0.7, 0.6])).alias("x")).first().x == ("1122", [0.9, 0.8, 0.7, 0.6])
+    six = [0.9, 0.8, 0.7, 0.6, 0.5, 0.4]
+    cases = [
+        ("1.121", six[:5], ".", "", {}, "1121", [0.9, 0.7, 0.6, 0.5]), ("1.12.1", [0.9, 0.8, 0.7, 0.6, 0.4, 0.5], ".", "", {}, "1121", [0.9, 0.7, 0.6, 0.5]), ("1.12.1", six, ".", "a", {}, "1a12a1", six),
+        ("1.12.1", six, ".", "aa", {"count": 2}, "1aa12aa1", [0.9, 0.8, 0.8, 0.7, 0.6, 0.5, 0.5, 0.4]), ("1.12.1", six, ".", "aa", {"count": 1}, "1aa12.1", [0.9, 0.8, 0.8, 0.7, 0.6, 0.5, 0.4]),
+        ("1.12..1", [*six, 0.3], "..", "a", {}, "1.12a1", [0.9, 0.8, 0.7, 0.6, 0.5, 0.3]), ("1.12..1", [*six, 0.3], "..", "aaa", {}, "1.12aaa1", [0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.45, 0.3]),
+        ("1.12.1", six, ".", "a", {"thresh": 0.6}, "1.12a1", six), ("1.12.1", six, ".", "a", {"thresh": 0.9}, "1a12a1", six), ("1.12..1", [0.9, 0.8, 0.7, 0.6, 0.5, 0.1, 0.4], "..", "aaa", {"thresh": 0.6}, "1.12aaa1", [0.9, 0.8, 0.7, 0.6, 0.5, 0.1, 0.3, 0.4]),
+    ]
+    for t, s, old, new, how, want, scores in cases:
+        x = df.select(text.scored_replace(old, new, **how)(make(t, s)).alias("x")).first().x
+        assert x.text == want and x.scores == pytest.approx(scores), (t, how)
+
