@@ -42,7 +42,7 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x5e\x60-\x7e¡-©«¬®¯°±´¶·¸»¿À-
 
 #: Documents of a part at most (two to the power ``BITS``), and its characters, about.
 BITS = 14
-PART_DOCS, PART_CHARS = 1 << BITS, 8_000_000
+PART_DOCS, PART_CHARS = 1 << BITS, 3_000_000
 #: The share of a part's documents from which on a pre-token is salted, and the number of salts.
 HOT, SALTS = 1 / 16, 64
 #: Buckets for a shuffle partition; sums that a task holds before it states them; pre-tokens handed to the tokenizer at once.
