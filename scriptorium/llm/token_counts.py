@@ -23,6 +23,7 @@ replaced by the output.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -82,6 +83,12 @@ class PieceCounter:
         return n + sum(known[w] for w in found)
 
 
+@functools.lru_cache(maxsize=1)
+def counter_of(path: str) -> PieceCounter:
+    """One for each worker: a tokenizer's memory does not come back."""
+    return PieceCounter(path)
+
+
 class _Codes(dict):
     def __missing__(self, word: str) -> int:
         self[word] = n = len(self)
@@ -130,7 +137,7 @@ def _frequencies(path: str, kind: pa.DataType, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        counter, numbers = PieceCounter(path), itertools.count(TaskContext.get().partitionId() << 32)
+        counter, numbers = counter_of(path), itertools.count(TaskContext.get().partitionId() << 32)
         state: tuple = ([], [], [], _Codes(), [])
         chars = 0
         for b in batches:
@@ -164,7 +171,7 @@ def _joined(path: str, kind: pa.DataType):
         return pa.record_batch([*cols, *(pa.nulls(len(sums), t) for t in lists.values())], names=["part", "at", "n", *lists])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, pieces, now, sums, size = PieceCounter(path), {}, None, {}, 0
+        counter, pieces, now, sums, size = counter_of(path), {}, None, {}, 0
         for b in batches:
             mine = b.column(6).is_valid()
             own = b.filter(mine)
