@@ -148,62 +148,87 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0).take(ix), b.column(1).take(ix), pa.array(key.view(np.int64)), pa.array(d.view(np.int64)), pa.array(start), pa.array(many.astype(np.int32)), pa.array(alike)], names=["id", "c", "v", "d", "s", "n", "alike"])
 
 
-def _names_sorted(t: list[int], k: int) -> list[int]:
-    """The suffix array of ``t`` (values below ``k``; the last is 0 and occurs once) by induced sorting, recursively."""
+def _types(t):
+    """Which suffixes of ``t`` are smaller than the next one (the last is), and the leftmost of each run of these."""
+    import numpy as np
+
+    n = len(t)
+    step = np.sign(t[1:].astype(np.int64) - t[:-1].astype(np.int64))
+    nxt = np.where(step != 0, np.arange(n - 1), n)
+    nxt = np.minimum.accumulate(nxt[::-1])[::-1]
+    small = np.append(step[np.minimum(nxt, n - 2)] > 0, True)
+    return small, np.flatnonzero(small[1:] & ~small[:-1]) + 1
+
+
+def _named(t, lms, ordered):
+    """Names of the LMS substrings, in text order, from their sorted order: equal ones (equal length and equal hash) share a name."""
+    import numpy as np
+
     n = len(t)
+    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _P, dtype=np.uint64)))
+    with np.errstate(over="ignore"):
+        mixed = (t.astype(np.uint64) + np.uint64(3)) * np.uint64(_M)
+        mixed ^= mixed >> np.uint64(29)
+        total = np.append(np.uint64(0), np.cumsum(mixed * power[:n], dtype=np.uint64))
+        inverse = pow(_P, -1, 1 << 64)
+        back = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, inverse, dtype=np.uint64)))
+        end = np.append(lms[1:], n - 1) + 1
+        hashed = (total[end] - total[lms]) * back[lms]
+    place = np.zeros(n, dtype=np.int64)
+    place[lms] = np.arange(len(lms))
+    ix, size = place[ordered], end - lms
+    new = np.ones(len(ix), dtype=np.int64)
+    new[1:] = (hashed[ix[1:]] != hashed[ix[:-1]]) | (size[ix[1:]] != size[ix[:-1]])
+    rank = np.empty(len(ix), dtype=np.int64)
+    rank[ix] = np.cumsum(new) - 1
+    return rank, ix
+
+
+def _names_sorted(t):
+    """The suffix array of names ``t`` (the last is 0 and occurs once) by induced sorting, recursively. Names have wide
+    alphabets, for which plain scans are faster than a call of numpy for each bucket."""
+    import numpy as np
+
+    n, k = len(t), int(t.max()) + 1
     if n == 1:
-        return [0]
-    small = bytearray(n)
-    small[n - 1] = 1
-    for i in range(n - 2, -1, -1):
-        small[i] = t[i] < t[i + 1] or (t[i] == t[i + 1] and small[i + 1])
-    lms = [i for i in range(1, n) if small[i] and not small[i - 1]]
-    head = [0] * (k + 1)
-    for x in t:
-        head[x + 1] += 1
-    for x in range(k):
-        head[x + 1] += head[x]
-
-    def induce(order: list[int]) -> list[int]:
+        return np.zeros(1, dtype=np.int64)
+    small, lms = _types(t)
+    end = np.cumsum(np.bincount(t, minlength=k))
+    tails, heads = end.tolist(), (end - np.bincount(t, minlength=k)).tolist()
+    own = t.tolist()
+    before_large = bytes(np.concatenate([[0], ~small[:-1], [0]]).astype(np.uint8))  # by place; -1, an empty slot, reads the last
+    before_small = bytes(np.concatenate([[0], small[:-1], [0]]).astype(np.uint8))
+
+    def induce(order):
         sa = [-1] * n
-        tail = head[1:]
-        for i in reversed(order):
-            x = t[i]
-            tail[x] -= 1
-            sa[tail[x]] = i
-        up = head[:-1]
-        for p in range(n):
-            i = sa[p] - 1
-            if i >= 0 and not small[i]:
-                x = t[i]
-                sa[up[x]] = i
-                up[x] += 1
-        down = head[1:]
-        for p in range(n - 1, -1, -1):
-            i = sa[p] - 1
-            if i >= 0 and small[i]:
-                x = t[i]
-                down[x] -= 1
-                sa[down[x]] = i
-        return sa
+        at = tails.copy()
+        for i in order[::-1].tolist():
+            x = own[i]
+            at[x] -= 1
+            sa[at[x]] = i
+        at = heads.copy()
+        for i in sa:  # sees what it puts ahead
+            if before_large[i]:
+                x = own[i - 1]
+                sa[at[x]] = i - 1
+                at[x] += 1
+        at = tails.copy()
+        for i in reversed(sa):
+            if before_small[i]:
+                x = own[i - 1]
+                at[x] -= 1
+                sa[at[x]] = i - 1
+        return np.array(sa, dtype=np.int64)
 
     if len(lms) < 2:
         return induce(lms)
-    is_lms = bytearray(n)
-    for i in lms:
-        is_lms[i] = 1
-    end = dict(zip(lms, [*lms[1:], n - 1], strict=True))
-    ordered = [i for i in induce(lms) if is_lms[i]]
-    name, before, names = -1, None, {}
-    for i in ordered:
-        this = t[i : end[i] + 1]
-        if this != before:
-            name, before = name + 1, this
-        names[i] = name
-    if name + 1 < len(lms):
-        again = _names_sorted([names[i] for i in lms], name + 1)
-        ordered = [lms[i] for i in again]
-    return induce(ordered)
+    is_lms = np.zeros(n, dtype=bool)
+    is_lms[lms] = True
+    sa = induce(lms)
+    rank, ix = _named(t, lms, sa[is_lms[sa]])
+    if rank[ix[-1]] < len(ix) - 1:
+        ix = _names_sorted(rank)
+    return induce(lms[ix])
 
 
 def suffix_array(t, k: int):
@@ -213,12 +238,7 @@ def suffix_array(t, k: int):
     n = len(t)
     if n == 1:
         return np.zeros(1, dtype=np.int64)
-    # classify: S if the next different value is larger
-    step = np.sign(t[1:].astype(np.int32) - t[:-1].astype(np.int32))
-    nxt = np.where(step != 0, np.arange(n - 1), n)
-    nxt = np.minimum.accumulate(nxt[::-1])[::-1]
-    small = np.append(step[np.minimum(nxt, n - 2)] > 0, True)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    small, lms = _types(t)
     count = np.bincount(t, minlength=k)
     tail = np.cumsum(count)
     head = tail - count
@@ -265,27 +285,10 @@ def suffix_array(t, k: int):
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
-    # name the LMS substrings: equal length and equal hash
-    power = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, _P, dtype=np.uint64)))
-    with np.errstate(over="ignore"):
-        mixed = (t.astype(np.uint64) + np.uint64(3)) * np.uint64(_M)
-        mixed ^= mixed >> np.uint64(29)
-        total = np.append(np.uint64(0), np.cumsum(mixed * power[:n], dtype=np.uint64))
-        inverse = pow(_P, -1, 1 << 64)
-        back = np.multiply.accumulate(np.append(np.uint64(1), np.full(n, inverse, dtype=np.uint64)))
-        end = np.append(lms[1:], n - 1) + 1
-        hashed = (total[end] - total[lms]) * back[lms]
-    place = np.zeros(n, dtype=np.int64)
-    place[lms] = np.arange(len(lms))
-    ix = place[ordered]
-    size = end - lms
-    new = np.ones(len(ix), dtype=np.int64)
-    new[1:] = (hashed[ix[1:]] != hashed[ix[:-1]]) | (size[ix[1:]] != size[ix[:-1]])
-    rank = np.empty(len(ix), dtype=np.int64)
-    rank[ix] = np.cumsum(new) - 1
+    rank, ix = _named(t, lms, ordered)
     # the string of names is sorted in the same way; its last name, the terminator's, is 0 and occurs once
     if rank[ix[-1]] < len(ix) - 1:
-        ix = np.array(_names_sorted(rank.tolist(), int(rank[ix[-1]]) + 1), dtype=np.int64)
+        ix = _names_sorted(rank)
     return induce(lms[ix])
 
 
