@@ -252,8 +252,11 @@ def is_none_or_blank(c: Column) -> Column:
 
 def find_window(c: Column, size: int, test: Callable[[Column], Column], last: bool = False, start: int = 0) -> Column:
     """Struct i, j of the first (or last) window of ``size`` characters that passes ``test``."""
-    n = F.length(c) - size - start
-    at = F.filter(F.when(n >= 0, F.sequence(F.lit(start), n + start)), lambda i: test(F.substr(c, i + 1, F.lit(size))))
+    chars = F.split(c, "")
+    w = chars
+    for k in range(1, size):  # windows as neighbours joined, which is linear in the text; those that leave it are null
+        w = F.zip_with(w, F.slice(chars, F.lit(k + 1), F.size(chars)), lambda a, b: F.concat(a, b))
+    at = F.filter(F.transform(w, lambda x, i: F.when((i >= start) & test(x), i)), lambda i: i.isNotNull())
     i = F.try_element_at(at, F.lit(-1 if last else 1))
     return F.when(i.isNotNull(), F.struct(i.alias("i"), (i + size).alias("j")))
 
