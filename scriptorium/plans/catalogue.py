@@ -44,7 +44,7 @@ NODES = """
 with li as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as r from documents),
 tk as (select doc_id, r, unnest(string_split(line, ' ')) as text, generate_subscripts(string_split(line, ' '), 1) - 1 as k from li),
 oc as (select *, coalesce(sum(length(text) + 1) over (partition by doc_id, r order by k rows between unbounded preceding and 1 preceding), 0) as c from tk),
-nodes as (select doc_id, r, k, text, cast(10 * c as bigint) as l, cast(20 * r + (7 * doc_id + 3 * k) % 5 as bigint) as t, cast(10 * (c + length(text)) as bigint) as rr,
+nodes as materialized (select doc_id, r, k, text, cast(10 * c as bigint) as l, cast(20 * r + (7 * doc_id + 3 * k) % 5 as bigint) as t, cast(10 * (c + length(text)) as bigint) as rr,
   cast(20 * r + (7 * doc_id + 3 * k) % 5 + 12 + length(text) % 4 as bigint) as b, ((31 * doc_id + 17 * r + 7 * k) % 100) / 100.0::double as score,
   row_number() over (partition by doc_id order by r, k) - 1 as ix from oc where text <> '')
 """
