@@ -174,8 +174,10 @@ MODELS: dict[str, Callable[[DataFrame], DataFrame]] = {}
 
 
 def with_model(df: DataFrame, name: str) -> DataFrame:
-    """Applies a model registered under ``name`` (recognition, text class, entities); without one the input passes through."""
-    return MODELS[name](df) if name in MODELS else df
+    """Applies a model registered under ``name`` (recognition, text class, entities); without one it is an error of the configuration."""
+    if name not in MODELS:
+        raise ConfigError(f"no model is registered under {name!r}")
+    return MODELS[name](df)
 
 
 def chunks(c: Column, size: int = 126) -> Column:

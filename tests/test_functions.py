@@ -148,3 +148,13 @@ def test_scored_as_published(spark):
         x = df.select(text.scored_replace(old, new, **how)(make(t, s)).alias("x")).first().x
         assert x.text == want and x.scores == pytest.approx(scores), (t, how)
 
+
+
+def test_missing_model_is_an_error(spark):
+    from scriptorium.operators import template
+
+    with pytest.raises(template.ConfigError):
+        template.with_model(spark.range(1), "none of this name")
+    template.MODELS["twice"] = lambda df: df.union(df)
+    assert template.with_model(spark.range(1), "twice").count() == 2
+    del template.MODELS["twice"]
