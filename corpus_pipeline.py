@@ -2,8 +2,8 @@
 
 1. Quality classifier: documents above their language's perplexity limit go.
 2. Line dedup: lines that many documents hold stay in one.
-3. SimHash near-dedup: one document of each group of near copies stays (words in
-   fives, similarity 0.8).
+3. SimHash near-dedup: one document of each component of fingerprints within two
+   bits of each other stays (op1's operator).
 4. Benchmark decontamination: documents that hold a benchmark item go.
 5. Mixing to target weights: every document with its size, its source's target
    and the words the mix takes of it.
@@ -17,8 +17,8 @@ from scriptorium.llm.common import table, written
 from scriptorium.llm.decontamination import decontaminate
 from scriptorium.llm.line_dedup import line_dedup
 from scriptorium.llm.mixing import mix_report
-from scriptorium.llm.near_dedup import near_dedup
 from scriptorium.llm.perplexity import quality_filter
+from scriptorium.llm.simhash import keep_one
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup(docs)
+    return keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ STAGES = [
     ("mixing", mix),
 ]
 
-#: Perplexities and edit distances are beyond SQL; tests hold each stage against brute force.
+#: Perplexities, fingerprints and edit distances are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 

@@ -151,5 +151,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fp.join(named, "_fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, but those of a component that are not its least id. Rows with a null
+    id stay; of rows that repeat an id, all stay if one of them does."""
+    named = near_duplicates(docs, id_col, text_col)
+    gone = named.groupBy(F.col(id_col).alias("_gone")).agg(F.bool_and(F.col(id_col) != F.col("component_id")).alias("_all")).filter("_all").select("_gone")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -112,6 +112,23 @@ def test_components_of_long_chains(spark):
     assert got == {k: 0 for k in range(1, 301)} | {1000 + k: 1000 for k in range(1, 50)} | {2001: 2000}
 
 
+def test_pipeline_near_dedup_is_by_simhash(spark):
+    """What stays is the least id of each component of fingerprints, nothing else: also of texts alike in 0.8 of their
+    shingles whose fingerprints are far apart, of rows without an id and of rows that repeat one."""
+    import corpus_pipeline
+
+    r = random.Random(41)
+    vocab = [f"w{k}" for k in range(3000)]
+    base = [[r.choice(vocab) for _ in range(200)] for _ in range(20)]
+    texts = corpus(3) + [" ".join(w) for w in base] + [" ".join(edited(r, vocab, w, "tail", s)) for w in base for s in (0.005, 0.1)]
+    named = brute_simhash(list(enumerate(texts)))
+    assert brute_near(texts) != sorted({c for _, _, c in named})
+    got = corpus_pipeline.dedup_near(spark, docs(spark, texts), "")
+    assert sorted(x.doc_id for x in got.collect()) == sorted({c for _, _, c in named}) and got.columns == docs(spark, ["x"]).columns
+    odd = spark.createDataFrame([(5, texts[0]), (7, texts[0]), (7, texts[1]), (8, texts[0]), (None, texts[0])], "doc_id long, text string")
+    assert sorted(map(repr, (x.doc_id for x in corpus_pipeline.dedup_near(spark, odd, "").collect()))) == ["5", "7", "7", "None"]
+
+
 def test_near_dedup_keeps_one(spark):
     r = random.Random(8)
     words = [f"w{k}" for k in range(4000)]
