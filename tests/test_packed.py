@@ -27,7 +27,7 @@ def by_rows(name, documents):
     return lines.select("doc_id", "line", F.explode(F.array_compact(F.array(F.when(a & b, "both"), F.when(a | b, "either")))))
 
 
-NAMES = ["col_lines", "asof_key_rows", "key_row_sets", "stop_line_cut"]
+NAMES = ["col_lines", "asof_key_rows", "key_row_sets", "stop_line_cut", "x_segments"]
 
 
 @pytest.mark.parametrize("name", NAMES)
