@@ -27,7 +27,7 @@ def by_rows(name, documents):
     return lines.select("doc_id", "line", F.explode(F.array_compact(F.array(F.when(a & b, "both"), F.when(a | b, "either")))))
 
 
-NAMES = ["col_lines", "asof_key_rows", "key_row_sets", "stop_line_cut", "x_segments"]
+NAMES = ["col_lines", "asof_key_rows", "key_row_sets", "stop_line_cut", "x_segments", "paragraphs"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -55,3 +55,48 @@ def test_queries_keep_documents_in_a_row(spark, name):
 def test_rows_of_one_id_are_one_document(spark):
     d = spark.createDataFrame([(1, "a b"), (2, "c"), (1, "d")], "doc_id long, text string")
     assert {x.doc_id: x.n for x in packed.col_lines(d).groupBy("doc_id").agg(F.sum("n").alias("n")).collect()} == {1: 3, 2: 1}
+
+
+def plain_fold(rows):
+    """Every open paragraph is asked for every box."""
+    groups, out, made = [], [], 0
+    for i, (left, top, right, bottom) in enumerate(rows):
+        h, hit = bottom - top, False
+        groups = [g for g in groups if top - g["bottom"] < g["h"] / g["n"]]
+        for g in groups:
+            wide = min(right, g["right"]) - max(left, g["left"])
+            if abs(left - g["left"]) < g["h"] / g["n"] or wide > 0.1 * min(right - left, g["right"] - g["left"]):
+                hit = True
+                out.append((i, g["k"]))
+                g.update(bottom=max(g["bottom"], bottom), left=min(g["left"], left), right=max(g["right"], right), h=g["h"] + h, n=g["n"] + 1)
+        if not hit:
+            groups.append({"k": made, "left": left, "right": right, "bottom": bottom, "h": h, "n": 1})
+            out.append((i, made))
+            made += 1
+    return out
+
+
+def test_paragraph_fold():
+    r = random.Random(5)
+    for turn in range(400):
+        whole = turn % 2
+        num = (lambda a, b: r.randrange(a, b)) if whole else (lambda a, b: r.uniform(a, b))
+        rows = []
+        for _ in range(r.randrange(0, 60)):
+            x, y = num(-50, 300), num(0, 120)
+            rows.append((x, y, x + num(-10 if turn % 7 == 0 else 0, 200 if turn % 5 == 0 else 40), y + num(-3 if turn % 11 == 0 else 1, 20)))
+        rows.sort(key=lambda x: (x[1], x[0]))
+        boxes, groups = [], []
+        sizes = packed.memberships(*(list(c) for c in (zip(*rows, strict=True) if rows else [()] * 4)), boxes, groups)
+        want = plain_fold(rows)
+        assert sorted(zip(boxes, groups, strict=True)) == sorted(want)
+        assert sizes == [sum(k == g for _, g in want) for k in range(len(sizes))]
+
+
+def test_paragraphs_of_a_long_line_take_no_pairs():
+    import time
+
+    n = 30000
+    began = time.process_time()
+    assert packed.memberships([60 * k for k in range(n)], [0] * n, [60 * k + 50 for k in range(n)], [12] * n) == [1] * n
+    assert time.process_time() - began < 5
