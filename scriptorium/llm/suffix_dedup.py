@@ -11,7 +11,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts elsewhere
 2. Segments with equal bytes are one from here on: large groups of copies shrink
    to a row, all of whose windows are repeats.
 3. Keys with several different segments, or one that may repeat itself, are sent to shards by key. A shard
-   concatenates its segments and builds their suffix array by induced sorting:
+   leaves out what cannot be equal to another window (around the least gram it differs from every other segment
+   of its key), concatenates the rest and builds their suffix array by induced sorting:
    classify suffixes, sort the leftmost-smaller (LMS) substrings by inducing, name
    them, sort the string of names by the same procedure again, induce the array; then each suffix's common
    prefix with its predecessor, in text order. Bytes are induced bucket by bucket in numpy, whose stable sort of sixteen-bit
@@ -38,13 +39,14 @@ from pyspark.sql import functions as F
 from .common import table, trimmed, trimmed_group, written
 
 LENGTH, GRAM = 200, 40
-#: Window starts of a segment at most; bytes handled at a time; segments of a key in one shard; bytes of a shard, about.
-STARTS, CHUNK, GROUP, SHARD_BYTES = 512, 500_000, 5000, 700_000
+#: Window starts of a segment at most; bytes handled at a time, and hashed at a time; segments of a key in one shard; bytes of a shard, about;
+#: places of the least gram that are looked at together.
+STARTS, CHUNK, BLOCK, GROUP, SHARD_BYTES, SPAN = 512, 500_000, 48_000, 5000, 700_000, 40
 _P, _M = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
 
-def keys(data, length: int = LENGTH):
-    """The key of the window at each start of ``data`` (uint8), and the hashes of the grams."""
+def _keys(data, length: int):
+    """``keys`` of one block: its numbers are to stay in the processor's cache."""
     import numpy as np
 
     gram = min(GRAM, length)
@@ -71,6 +73,20 @@ def keys(data, length: int = LENGTH):
     return (np.minimum(g[: len(g) - (wide - n)], g[wide - n :]) if wide > n else g), grams
 
 
+def keys(data, length: int = LENGTH):
+    """The key of the window at each start of ``data`` (uint8), and the hashes of the grams."""
+    import numpy as np
+
+    n = len(data) - length + 1
+    if n <= BLOCK:
+        return _keys(data, length)
+    k, grams = np.empty(n, dtype=np.uint64), np.empty(len(data) - min(GRAM, length) + 1, dtype=np.uint64)
+    for at in range(0, n, BLOCK):
+        own, g = _keys(data[at : at + BLOCK + length - 1], length)
+        k[at : at + len(own)], grams[at : at + len(g)] = own, g
+    return k, grams
+
+
 def segments(data, offsets, length: int = LENGTH):
     """``(doc, start, windows, key, alike)`` arrays of the segments of the texts between ``offsets`` in
     ``data``. ``alike``: windows of one segment may be equal. They are only if the leftmost least
@@ -81,25 +97,29 @@ def segments(data, offsets, length: int = LENGTH):
     last = len(data) - length
     for at in range(0, last + 1, CHUNK):
         k, grams = keys(data[at : min(len(data), at + CHUNK + length - 1)], length)
-        starts = np.arange(at, at + len(k))
-        doc = np.searchsorted(offsets, starts, side="right") - 1
-        inside = starts + length <= offsets[doc + 1]
         new = np.ones(len(k), dtype=bool)
-        new[1:] = (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])
+        new[1:] = k[1:] != k[:-1]
+        new[offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, at + len(k))] - at] = True
         first = np.flatnonzero(new)
-        runs = np.diff(np.append(first, len(k)))
-        if runs.max() > STARTS:  # periodic text keeps a key for long
-            first = np.concatenate([np.arange(f, f + r, STARTS) for f, r in zip(first.tolist(), runs.tolist(), strict=True)])
-        end = np.append(first[1:], len(k))
-        many = np.cumsum(np.append(0, inside))[end] - np.cumsum(np.append(0, inside))[first]  # windows that end within the text come first
+        parts = -(-np.diff(np.append(first, len(k))) // STARTS)  # periodic text keeps a key for long
+        first = np.repeat(first, parts) + STARTS * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+        doc = np.searchsorted(offsets, first + at, side="right") - 1
+        many = np.minimum(np.append(first[1:], len(k)), offsets[doc + 1] - length + 1 - at) - first  # windows that end within the text come first
         ok = many > 0
-        first, many = first[ok], many[ok]
-        view = np.lib.stride_tricks.sliding_window_view(grams, len(grams) - len(k) + 1)
-        alike = view[first].argmin(axis=1) + first != view[first + many - 1].argmin(axis=1) + first + many - 1
-        out.append((doc[first], first + at - offsets[doc[first]], many, k[first], alike))
+        doc, first, many = doc[ok], first[ok], many[ok]
+        least, most = _least_grams(grams, first, many, length)
+        out.append((doc, first + at - offsets[doc], many, k[first], least != most))
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, dtype=np.int64)] * 3 + [np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=bool)]
 
 
+def _least_grams(grams, first, many, length: int = LENGTH):
+    """The places of the leftmost least gram of the first and of the last of ``many`` windows from ``first``."""
+    import numpy as np
+
+    view = np.lib.stride_tricks.sliding_window_view(grams, length - min(GRAM, length) + 1)
+    return view[first].argmin(axis=1) + first, view[first + many - 1].argmin(axis=1) + first + many - 1
+
+
 def _bytes(col):
     """Data and offsets of a binary column without nulls."""
     import numpy as np
@@ -352,9 +372,44 @@ def _runs_table(rows: list[tuple[int, int, int, int]]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(cols, _RUNS, strict=True)], schema=_RUNS)
 
 
+def candidates(v: list[int], texts: list[bytes], length: int = LENGTH) -> list[tuple[int, int, bytes]]:
+    """``(k, start, part)``: of segments ``texts`` with keys ``v``, the parts that hold every window equal to another one.
+
+    Equal windows have their leftmost least gram at the same place. Windows that have it at one of ``SPAN`` neighbouring
+    places share the bytes around it that all of these cover; a segment whose shared bytes no other segment of its key
+    has, has no equal window there. Keys with a segment that may repeat itself stay whole."""
+    import numpy as np
+
+    if not texts:
+        return []
+    gram = min(GRAM, length)
+    size = np.array([len(x) for x in texts])
+    begin = np.cumsum(size) - size
+    least, most = _least_grams(keys(np.frombuffer(b"".join(texts), dtype=np.uint8), length)[1], begin, size - length + 1, length)
+    alike = {v[k] for k in np.flatnonzero(least != most).tolist()}
+    spans = [(lo, min(lo + SPAN - 1, length - gram)) for lo in range(0, length - gram + 1, SPAN)]
+    shared: dict[tuple[int, int, bytes], list[int]] = {}
+    place = (least - begin).tolist()
+    for k, (p, x) in enumerate(zip(place, texts, strict=True)):
+        if v[k] not in alike:
+            for lo, hi in spans:
+                if p >= lo and p + length - hi <= len(x):
+                    shared.setdefault((v[k], lo, x[p - lo : p + length - hi]), []).append(k)
+    reach = {k: (0, len(x)) for k, x in enumerate(texts) if v[k] in alike}
+    for (_, lo, _), held in shared.items():
+        if len(held) > 1:
+            for k in held:
+                a, b = max(0, place[k] - min(lo + SPAN - 1, length - gram)), min(len(texts[k]), place[k] + length - lo)
+                was = reach.get(k, (a, b))
+                reach[k] = (min(a, was[0]), max(b, was[1]))
+    return [(k, a, texts[k][a:b]) for k, (a, b) in sorted(reach.items())]
+
+
 def _shard(t: pa.Table) -> pa.Table:
-    v, d, texts = t.column("v").to_pylist(), t.column("d").to_pylist(), t.column("seg").to_pylist()
-    return _runs_table([(v[k], d[k], a, b) for k, runs in enumerate(repeats(texts)) for a, b in runs])
+    v, d = t.column("v").to_pylist(), t.column("d").to_pylist()
+    parts = candidates(v, t.column("seg").to_pylist())
+    found = repeats([x for *_, x in parts]) if parts else []
+    return _runs_table([(v[k], d[k], at + a, at + b) for (k, at, _), runs in zip(parts, found, strict=True) for a, b in runs])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

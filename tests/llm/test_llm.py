@@ -368,6 +368,52 @@ def test_suffix_arrays_are_sorted():
         assert suffix_dedup.suffix_array(np.array(t, dtype=np.uint16), 258).tolist() == want
 
 
+def test_suffix_arrays_get_only_windows_that_may_repeat(monkeypatch):
+    """Segments that share a key but no string around their least gram stay out; every equal window is found."""
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(12)
+    word = lambda n: bytes(r.choice(b"abcdef ") for _ in range(n))
+    phrase, passages, period = word(150), [word(r.randrange(195, 420)) for _ in range(12)], word(90)
+    edited = [x[:k] + b"#" + x[k + 1 :] for x in passages for k in (0, 1, 100, len(x) - 1)]
+    cases = [([word(400) + phrase + word(400) for _ in range(12)], False)]
+    cases += [([word(r.randrange(250)) + x + word(r.randrange(250)) for x in r.sample(passages + edited, 30)] + [period * 9, period * 5 + word(300), period * 4], True) for _ in range(6)]
+    given, arrays = [], suffix_dedup.repeats
+    monkeypatch.setattr(suffix_dedup, "repeats", lambda texts, *a: given.extend(texts) or arrays(texts, *a))
+    for texts, found in cases:
+        given.clear()
+        raw = b"".join(texts)
+        off = np.cumsum([0, *map(len, texts)])
+        doc, start, many, key, _ = suffix_dedup.segments(np.frombuffer(raw, dtype=np.uint8), off)
+        segs = {(int(k), raw[a : a + n + 199]) for k, a, n in zip(key, off[doc] + start, many.tolist(), strict=True)}
+        held = {}
+        for k, _ in segs:
+            held[k] = held.get(k, 0) + 1
+        segs = sorted(x for x in segs if held[x[0]] > 1)
+        assert segs
+        v = pa.array(np.array([k for k, _ in segs], dtype=np.uint64).view(np.int64))
+        out = suffix_dedup._shard(pa.table({"v": v, "d": pa.array(range(len(segs)), pa.int64()), "seg": pa.array([x for _, x in segs], pa.binary())}))
+        at = {}
+        for k, (_, x) in enumerate(segs):
+            for i in range(len(x) - 199):
+                at.setdefault(x[i : i + 200], set()).add((k, i))
+        want = {y for x in at.values() if len(x) > 1 for y in x}
+        assert {(d, i) for d, a, b in zip(*(out.column(c).to_pylist() for c in ("d", "a", "b")), strict=True) for i in range(a, b)} == want
+        assert bool(want) == found and (sum(map(len, given)) < sum(len(x) for _, x in segs) if found else not given)
+
+
+def test_segments_do_not_depend_on_blocks(monkeypatch):
+    import numpy as np
+
+    r = random.Random(13)
+    texts = [bytes(r.choice(b"ab") for _ in range(n)) for n in (0, 199, 200, 3000, 0, 450)] + [b"xy" * 900, b""]
+    data, off = np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum([0, *map(len, texts)])
+    want = suffix_dedup.segments(data, off)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 97)
+    assert all((a == b).all() for a, b in zip(suffix_dedup.segments(data, off), want, strict=True))
+
+
 @pytest.mark.parametrize("group", [2000, 1])
 def test_suffix_dedup(spark, group):
     r = random.Random(10)
