@@ -1,7 +1,8 @@
 """SimHash near-duplicate classes by multi-index hashing.
 
-1. Each text gets a fingerprint (Arrow batches; numpy counts the bits of the
-   shingles' XXH64 hashes). From there on only distinct fingerprints move, so a
+1. Each text gets a fingerprint (Arrow batches; numpy hashes the shingles of many
+   texts at once, those of one length together, and counts the bits of their XXH64
+   hashes). From there on only distinct fingerprints move, so a
    group of exact copies, whatever its size, is one row.
 2. Multi-index hashing: a fingerprint has two 32-bit segments. Two fingerprints
    within two bits differ by one bit at most in the first segment, or not at all
@@ -26,7 +27,7 @@ result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -37,6 +38,9 @@ from .common import durable, table, trimmed
 SHINGLE, SEED, BITS, RADIUS = 3, 42, 64, 2
 #: The largest bucket that is paired; larger ones take the exact way of step 3.
 BUCKET = 32
+#: Bytes of text whose shingles are hashed at once (longer texts go through ``fingerprint``), and of the longest shingle in an array.
+AT_ONCE, LONGEST = 1_000_000, 160
+_P1, _P2, _P3, _P4, _P5 = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -54,13 +58,112 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h), bitorder="little").tobytes(), "little")
 
 
+def _xxh64(data: bytes, starts, ends):
+    """XXH64 of each ``data[start:end]``, by arrays of equal length."""
+    import numpy as np
+    from xxhash import xxh64_intdigest
+
+    u, wrap = np.uint64, (1 << 64) - 1
+    p1, p2, p3, p4, p5 = map(u, (_P1, _P2, _P3, _P4, _P5))
+    padded = data + bytes(8)
+    eight = np.ascontiguousarray(np.ndarray(len(data) + 1, np.uint64, padded, strides=(1,)))  # the eight bytes from each place on
+
+    def turned(x, k: int):
+        return (x << u(k)) | (x >> u(64 - k))
+
+    def mixed(lane):
+        return turned(lane * p2, 31) * p1
+
+    out, sizes = np.empty(len(starts), dtype=u), ends - starts
+    order = np.argsort(np.minimum(sizes, LONGEST + 1).astype(np.uint8), kind="stable")
+    bounds = np.cumsum(np.bincount(np.minimum(sizes, LONGEST + 1), minlength=LONGEST + 2))
+    for size in range(1, LONGEST + 1):
+        own = order[bounds[size - 1] : bounds[size]]
+        if not len(own):
+            continue
+        s, at = starts[own], 0
+        if size >= 32:
+            v = [np.full(len(own), (SEED + x) & wrap, dtype=u) for x in (_P1 + _P2, _P2, 0, -_P1)]
+            for at in range(0, size - 31, 32):
+                v = [turned(x + eight.take(s + (at + 8 * k)) * p2, 31) * p1 for k, x in enumerate(v)]
+            at += 32
+            h = turned(v[0], 1) + turned(v[1], 7) + turned(v[2], 12) + turned(v[3], 18)
+            for x in v:
+                h = (h ^ mixed(x)) * p1 + p4
+            h += u(size)
+        else:
+            h = np.full(len(own), (SEED + _P5 + size) & wrap, dtype=u)
+        while size - at >= 8:
+            h = turned(h ^ mixed(eight.take(s + at)), 27) * p1 + p4
+            at += 8
+        if size > at:
+            rest = eight.take(s + at)
+            if size - at >= 4:
+                h = turned(h ^ ((rest & u(0xFFFFFFFF)) * p1), 23) * p2 + p3
+                rest >>= u(32)
+                at += 4
+            for k in range(size - at):
+                h = turned(h ^ (((rest >> u(8 * k)) & u(255)) * p5), 11) * p1
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+        out[own] = h ^ (h >> u(32))
+    for k in order[bounds[LONGEST] :].tolist():
+        out[k] = xxh64_intdigest(data[starts[k] : ends[k]], SEED)
+    return out
+
+
+def _at_once(texts: list[bytes], counts: list[int], shingle: int) -> list[int]:
+    """The fingerprints of texts of ``shingle`` to 65,535 words each, ``counts``, with one space between words."""
+    import numpy as np
+
+    data = b" ".join(texts)
+    gaps = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32)
+    starts, ends = np.append(0, gaps + 1), np.append(gaps, len(data))
+    n = np.array(counts)
+    grams = n - (shingle - 1)
+    first = np.cumsum(grams) - grams
+    at = np.arange(grams.sum()) + np.repeat((np.cumsum(n) - n) - first, grams)
+    h = _xxh64(data, starts[at], ends[at + shingle - 1])
+    ones = np.empty((len(n), 4, 16), dtype=np.int64)
+    for k in range(16):  # four counters of 16 bits each in a number
+        ones[:, :, k] = np.add.reduceat((h >> np.uint64(k)) & np.uint64(0x0001000100010001), first).view(np.uint16).reshape(-1, 4)
+    return np.packbits(2 * ones.reshape(-1, BITS) > grams[:, None], axis=1, bitorder="little").view(np.uint64).ravel().tolist()
+
+
+def fingerprints_of(texts: Iterable[bytes | None], shingle: int = SHINGLE) -> list[int]:
+    """``fingerprint`` of each of the UTF-8 texts."""
+    out, own, held, counts, size = [], [], [], [], 0
+
+    def done() -> None:
+        for k, f in zip(own, _at_once(held, counts, shingle) if own else [], strict=True):
+            out[k] = f
+        for x in (own, held, counts):
+            x.clear()
+
+    for t in texts:
+        w = (t or b"").lower().split() if len(t or b"") <= AT_ONCE else []
+        if not shingle <= len(w) < 65536:
+            out.append(fingerprint((t or b"").decode(), shingle))
+            continue
+        own.append(len(out))
+        out.append(0)
+        held.append(b" ".join(w))
+        counts.append(len(w))
+        size += len(held[-1])
+        if size >= AT_ONCE:
+            done()
+            size = 0
+    done()
+    return out
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = SHINGLE) -> DataFrame:
     """``_id, _fp``: the fingerprint as a signed 64-bit number."""
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in b.column(1)]
+            fps = fingerprints_of((t.as_buffer().to_pybytes() if t.is_valid else None for t in b.column(1)), shingle)
             yield pa.record_batch([b.column(0), pa.array([f - (1 << 64) if f >> 63 else f for f in fps], pa.int64())], names=["_id", "_fp"])
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).mapInArrow(trimmed(run), f"_id {kind}, _fp long")

@@ -77,6 +77,24 @@ def test_simhash_components(spark, bucket):
     assert got == brute_simhash(list(enumerate(texts)))
 
 
+@pytest.mark.parametrize("at_once", [1, 3000, 10**6])
+def test_fingerprints_are_hashed_together(monkeypatch, at_once):
+    """Texts of three words or more, 65,535 at most, never go through the function for one text; all get its fingerprint."""
+    r = random.Random(43)
+    word = lambda: "".join(r.choice("abÄé漢😀Z.,\x00\x1c\u00a0") for _ in range(r.choice([1, 2, 3, 5, 8, 13, 40, 90])))
+    usual = [" \t"[k % 2] + "".join(word() + r.choice([" ", "\n", "\r\n", "  "]) for _ in range(r.randrange(3, 90))) for k in range(150)]
+    usual += ["a b c", "x " * 3000, "Ab " * 65535] + [t.upper() for t in usual[:9]]
+    odd = [None, "", " \n", "a", "a b", "Ab " * 65536, "a " * 70000 + "b"]
+    want = {i: int(f, 16) for t in (usual + odd,) for i, f, _ in brute_simhash(list(enumerate(t)))}
+    monkeypatch.setattr(simhash, "AT_ONCE", at_once)
+    mixed = [None if t is None else t.encode() for t in usual + odd]
+    assert simhash.fingerprints_of(iter(mixed)) == [want[k] for k in range(len(mixed))]
+    if at_once == 10**6:
+        monkeypatch.setattr(simhash, "fingerprint", None)
+        assert simhash.fingerprints_of([t.encode() for t in usual]) == [want[k] for k in range(len(usual))]
+    assert simhash.fingerprints_of([]) == []
+
+
 @pytest.mark.parametrize("bucket", [1, 4, 1000])
 def test_links_give_all_pairs_within_two_bits(spark, bucket):
     r = random.Random(4)
