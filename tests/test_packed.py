@@ -57,6 +57,30 @@ def test_rows_of_one_id_are_one_document(spark):
     assert {x.doc_id: x.n for x in packed.col_lines(d).groupBy("doc_id").agg(F.sum("n").alias("n")).collect()} == {1: 3, 2: 1}
 
 
+def test_paragraphs_query_has_every_box(spark):
+    """The query gives the paragraphs' boxes, not their numbers alone: each membership of the operator's bridge."""
+    from scriptorium.plans import catalogue
+
+    d = "/root/testdata/sf0.001"
+    got = catalogue.QUERIES["paragraphs"](spark, d)
+    assert got.filter("n <> size(nodes)").count() == 0
+    bridge = cluster.paragraphs(catalogue.boxes(spark, d))
+    want = sorted(map(tuple, bridge.select("doc_id", "paragraph", "node_ix").collect()))
+    assert sorted(map(tuple, got.select("doc_id", "paragraph", F.explode("nodes")).collect())) == want
+
+
+def test_paragraph_boxes_on_odd_texts(spark, monkeypatch):
+    monkeypatch.setattr(packed, "CHUNK", 900)
+    r = random.Random(7)
+    words = ["a", "bb", "ccc", "é𝄞", "", "x" * 30, "word", "12"]
+    text = lambda n, m: "\n".join(" ".join(r.choice(words) for _ in range(r.randrange(0, n))) for _ in range(r.randrange(0, m)))
+    rows = [(i - 30, text(12, 30)) for i in range(60)] + [(i, text(60, 5)) for i in range(100, 120)] + [(None, text(9, 9)), (None, "a b\na"), (900, None), (901, ""), (902, " \n "), (903, "\n\n a"), (904, "one"), (905, "w " * 3000), (906, "w\n" * 3000)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = packed.paragraph_boxes(d).select("doc_id", "paragraph", F.posexplode("nodes")).select("doc_id", "paragraph", "col", "pos").collect()
+    want = cluster.paragraphs(nodes.numbered(nodes.layout(d))).collect()
+    assert sorted(repr(tuple(x)[:3]) for x in got) == sorted(map(repr, map(tuple, want)))
+
+
 def plain_fold(rows):
     """Every open paragraph is asked for every box."""
     groups, out, made = [], [], 0
