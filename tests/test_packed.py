@@ -81,6 +81,33 @@ def test_paragraph_boxes_on_odd_texts(spark, monkeypatch):
     assert sorted(repr(tuple(x)[:3]) for x in got) == sorted(map(repr, map(tuple, want)))
 
 
+@pytest.mark.parametrize("turn, few", [(0, 0), (0, 4), (0, 10**6), (30, 16), (10**9, 16)])
+def test_paragraphs_row_by_row_are_those_of_the_fold(monkeypatch, turn, few):
+    """All documents' rows at once, or each document alone: the same boxes in the same order."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(packed, "TURN", turn)
+    monkeypatch.setattr(packed, "FEW", few)
+    r = random.Random(turn + few)
+    words = ["a", "bb", "ccc", "dddd", "", "x" * 45]
+    for _ in range(12):
+        texts = ["\n".join(" ".join(r.choice(words) for _ in range(r.randrange(0, 40))) for _ in range(r.choice([1, 3, 30]))) for _ in range(9)] + ["a b\nc dd", "x " * 300]
+        ids = [r.choice([None, 5, 5, 10**12, *range(-9, 40)]) if r.random() < 0.3 else 100 + i for i in range(len(texts))]
+        at = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] or 0))
+        b = packed.Boxes(pa.array([ids[i] for i in at], pa.int64()), pa.array([texts[i] for i in at], pa.string()))
+        docs, groups, sizes, lists = (x.to_pylist() if isinstance(x, pa.Array) else x.tolist() for x in packed._paragraph_boxes(b))
+        want = []
+        for k in sorted(set(b.doc.tolist())):
+            own = np.flatnonzero(b.doc == k)
+            order = own[np.lexsort((b.left[own], b.top[own]))]
+            made = {}
+            for i, g in plain_fold(list(zip(*(x[order].tolist() for x in (b.left, b.top, b.right, b.bottom)), strict=True))):
+                made.setdefault(g, []).append(int(order[i] - own[0]))
+            want += [(b.ids[k].as_py(), g, len(made[g]), made[g]) for g in sorted(made)]
+        assert list(zip(docs, groups, sizes, lists, strict=True)) == want
+
+
 def plain_fold(rows):
     """Every open paragraph is asked for every box."""
     groups, out, made = [], [], 0
